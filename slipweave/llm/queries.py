@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipweave.llm import groups, incremental
+from slipweave.llm import groups, incremental, lookalike, names
 from slipweave.sources.tables import Scratch, read_table
 
 
@@ -19,6 +19,28 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.record_groups(read_table(spark, sf_dir, "document_records"), Scratch(spark, "p2"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = Scratch(spark, "p4").write(lookalike.slip_forms(read_table(spark, sf_dir, "slip_reads")), "forms")
+    return lookalike.equal_looking_pairs(forms, ["user_id", "field_name"], "value", "form")
+
+
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.slip_forms(read_table(spark, sf_dir, "slip_reads"))
+
+
+def _parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.slip_parties(read_table(spark, sf_dir, "slip_reads"), read_table(spark, sf_dir, "nickname_reference"), Scratch(spark, "p5"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = lookalike.equal_looking_pairs(_parties(spark, sf_dir), ["user_id"], "value", "party")
+    return pairs.withColumnsRenamed({"value_a": "name_a", "value_b": "name_b"})
+
+
+def p5_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parties(spark, sf_dir)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.duplicate_pairs(*incremental.near_records(read_table(spark, sf_dir, "document_records"), Scratch(spark, "p6")))
 
@@ -27,7 +49,7 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.record_classes(*incremental.near_records(read_table(spark, sf_dir, "document_records"), Scratch(spark, "p6")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p6_found, p6_classes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_forms, p5_found, p5_parties, p6_found, p6_classes)}
 
 _GROUPS = """
 WITH RECURSIVE ids AS (SELECT DISTINCT document_id AS id FROM document_records WHERE document_id IS NOT NULL),
