@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipweave.llm import groups, incremental, lookalike, names
+from slipweave.llm import groups, incremental, lookalike, names, tokenizer
 from slipweave.sources.tables import Scratch, read_table
 
 
@@ -49,7 +49,21 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.record_classes(*incremental.near_records(read_table(spark, sf_dir, "document_records"), Scratch(spark, "p6")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_forms, p5_found, p5_parties, p6_found, p6_classes)}
+def _texts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", *more, "text")
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.encode(_texts(spark, sf_dir))
+
+
+def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _texts(spark, sf_dir).withColumn("original", F.coalesce("text", F.lit("")))
+    back = tokenizer.decode(tokenizer.encode(texts))
+    return back.select("doc_id", (F.col("text") == F.col("original")).alias("same"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_forms, p5_found, p5_parties, p6_found, p6_classes, p7_ids, p7_roundtrip)}
 
 _GROUPS = """
 WITH RECURSIVE ids AS (SELECT DISTINCT document_id AS id FROM document_records WHERE document_id IS NOT NULL),
@@ -69,6 +83,7 @@ WITH rec AS (
 """
 
 SQL: dict[str, str] = {
+    "p7_roundtrip": "SELECT doc_id, true AS same FROM documents",
     "p2_found": _GROUPS + "SELECT id AS document_id, group_id FROM found",
     "p2_groups": _GROUPS + "SELECT ids.id AS document_id, coalesce(found.group_id, ids.id) AS group_id FROM ids LEFT JOIN found ON found.id = ids.id",
     "p6_found": _PAIRS + "SELECT DISTINCT x.d AS document_a_id, y.d AS document_b_id FROM rec x JOIN rec y ON x.u = y.u AND x.d < y.d AND (x.b >= 1 OR y.b >= 1) WHERE x.e = y.e OR bit_count(xor(x.v, y.v)) <= 8",
