@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipweave.llm import groups, incremental, lookalike, names, tokenizer
+from slipweave.llm import groups, incremental, lookalike, mixing, names, splitting, tokenizer
 from slipweave.sources.tables import Scratch, read_table
 
 
@@ -63,7 +63,24 @@ def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.col("text") == F.col("original")).alias("same"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_forms, p5_found, p5_parties, p6_found, p6_classes, p7_ids, p7_roundtrip)}
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = tokenizer.count_tokens(_texts(spark, sf_dir, "source"))
+    return mixing.mix(sizes, read_table(spark, sf_dir, "source_targets"), Scratch(spark, "p8"))
+
+
+def p8_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*_mixed(spark, sf_dir))
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split(_texts(spark, sf_dir), read_table(spark, sf_dir, "cut_limits"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_forms, p5_found, p5_parties, p6_found, p6_classes, p7_ids, p7_roundtrip, p8_chosen, p8_shares, p9_pieces)}
 
 _GROUPS = """
 WITH RECURSIVE ids AS (SELECT DISTINCT document_id AS id FROM document_records WHERE document_id IS NOT NULL),

@@ -10,6 +10,7 @@ answered from a bounded table. Nothing is trained, and the vocabulary's path is
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import sys
@@ -35,6 +36,8 @@ _EXACT = regex.compile(PATTERN)
 TABLE_WORDS, TABLE_LENGTH, MAX_STATES = 200_000, 48, 200_000
 #: Bytes read between two emissions.
 BLOCK = 4096
+#: Transitions met before one is made.
+LAZINESS = 16
 #: In a state: no token before the first byte.
 START = -1
 
@@ -47,7 +50,11 @@ def _unlike() -> frozenset[str]:
 
 
 def pre_tokens(text: str) -> list[str]:
-    return (_FAST if _unlike().isdisjoint(text) else _EXACT).findall(text)
+    if text.isascii():
+        alike = not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
+    else:
+        alike = _unlike().isdisjoint(text)
+    return (_FAST if alike else _EXACT).findall(text)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -90,6 +97,7 @@ class Transducer:
         self.suffixes: list[tuple[bytes, tuple[int, ...]]] = [(b"", (0,))]
         self.suffix_of = {self.suffixes[0]: 0}
         self.plans: dict[int, tuple] = {}
+        self.misses = 0
         self._reset()
         self.words: dict[str, tuple[int, ...]] = _Words(self)
 
@@ -104,17 +112,19 @@ class Transducer:
         The merges that made a and b are undone, latest first. At each point the two tokens that touch the seam must
         not form a merge that is due before the one undone last; of equal merges the left one is due first.
         """
-        merged, lefts, rights = self.merged, self.left, self.right
+        merged, lefts, rights = self.merged.get, self.left, self.right
         x, y, before, known = a, b, len(lefts), True
         while True:
-            merge = merged.get(x << 20 | y)
+            merge = merged(x << 20 | y)
             if merge is not None and merge < before:
                 known = False
                 break
             left, right = lefts[x], lefts[y]
-            if left < 0 and right < 0:
-                break
-            if right < 0 or (left >= 0 and x > y):
+            if right < 0:
+                if left < 0:
+                    break
+                before, x = x, rights[x]
+            elif left >= 0 and x > y:
                 before, x = x, rights[x]
             else:
                 before, y = y + 1, right
@@ -160,12 +170,47 @@ class Transducer:
         out = self.step[state << 8 | byte] = (to, token)
         return out
 
+    def _simulate(self, state: int, data: bytes, lasts_out: list[int]) -> tuple[int, tuple[int, ...]]:
+        """Read data from a state without making states; the configuration it ends in."""
+        suffix, lasts = self.states[state]
+        plans, apart = self.plans, self._apart
+        for byte in data:
+            suffix, ending, kept = plans.get(suffix << 8 | byte) or self._plan(suffix, byte)
+            for i, token in ending:
+                last = lasts[i]
+                if last == START:
+                    break
+                ok = apart.get(last << 20 | token)
+                if self.stay_apart(last, token) if ok is None else ok:
+                    break
+            lasts = (*[lasts[i] for i in kept], token)
+            lasts_out.append(token)
+        return suffix, lasts
+
+    def _short(self, data: bytes) -> tuple[int, ...]:
+        """Ids of a pre-token of few bytes. A missing transition is made one time in LAZINESS; else the rest is simulated."""
+        step, state, lasts = self.step, 0, []
+        for k, byte in enumerate(data):
+            nxt = step.get(state << 8 | byte)
+            if nxt is None:
+                self.misses += 1
+                if self.misses % LAZINESS:
+                    self._simulate(state, data[k:], lasts)
+                    break
+                nxt = self._advance(state, byte)
+            state, token = nxt
+            lasts.append(token)
+        out, at, spell, public = [], len(lasts), self.spell, self.public
+        while at > 0:
+            t = lasts[at - 1]
+            out.append(public[t])
+            at -= len(spell[t])
+        out.reverse()
+        return tuple(out)
+
     def tokens(self, data: bytes) -> Iterator[list[int]]:
         """Public ids of one pre-token, in pieces: a piece holds what no further byte can change."""
         step, spell, state = self.step, self.spell, 0
-        if len(self.states) > MAX_STATES:
-            self._reset()
-            step = self.step
         lasts: list[int] = []  # the last token of each prefix not yet emitted
         for begin in range(0, len(data), BLOCK):
             for byte in data[begin : begin + BLOCK]:
@@ -213,7 +258,10 @@ class _Words(dict):
         self.owner = owner
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        out = tuple(chain.from_iterable(self.owner.tokens(word.encode("utf-8", "replace"))))
+        data = word.encode("utf-8", "replace")
+        if len(self.owner.states) > MAX_STATES:
+            self.owner._reset()
+        out = self.owner._short(data) if len(data) <= BLOCK else tuple(chain.from_iterable(self.owner.tokens(data)))
         if len(word) <= TABLE_LENGTH:
             if len(self) >= TABLE_WORDS:
                 self.clear()
@@ -247,7 +295,11 @@ def decode_stream(by_id: dict[int, bytes], ids: Iterable[int]) -> Iterator[str]:
 
 @cache
 def transducer(vocabulary: str = VOCABULARY) -> Transducer:
-    return Transducer(vocabulary)
+    made = Transducer(vocabulary)
+    gc.collect()
+    gc.freeze()  # the tables live as long as the process: nothing to look for in them
+    gc.set_threshold(100_000, 50, 100)
+    return made
 
 
 def _batches(of: Callable[[Transducer, list[str | None]], pa.Array], name: str, vocabulary: str) -> Callable:
