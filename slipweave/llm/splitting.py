@@ -156,7 +156,11 @@ def pieces(t: Transducer, known: dict, text: str, limits: list[tuple[int, int, i
         for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
             room = most - int(lay.before[hi] - lay.before[lo])
             start, tokens = lay.back(lo, overlap, room) if i else (0, 0)
-            yield limit_id, i, start, int(lay.at[lo]), int(lay.at[hi]), int(lay.before[hi]) - tokens
+            end = int(lay.at[hi])
+            n = int(lay.before[hi]) - tokens
+            if end < len(text) and text[end - 2 : end].isspace():
+                n = t.count(text[start:end])  # blanks before a word are two pre-tokens, at the end of a text one
+            yield limit_id, i, start, int(lay.at[lo]), end, n
 
 
 _OUT = "doc_id long, limit_id int, piece_no int, start_char int, new_from int, end_char int, n_tokens int, text string"
