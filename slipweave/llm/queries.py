@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipweave.llm import groups, incremental, lookalike, mixing, names, splitting, tokenizer
+from slipweave.llm import groups, incremental, labelled, lookalike, mixing, names, pii, splitting, tokenizer
 from slipweave.sources.tables import Scratch, read_table
 
 
+def _free_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, pii.Finder]:
+    reads = read_table(spark, sf_dir, "slip_reads")
+    return pii.slip_texts(reads, read_table(spark, sf_dir, "review_history")), labelled.trained(reads)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(*_free_texts(spark, sf_dir))
+    return found.select("text_field", "record_id", "kind", "start_pos").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, finder = _free_texts(spark, sf_dir)
+    return pii.redact(texts.dropDuplicates(["text_field", "record_id"]), finder).select("text_field", "record_id", "redacted")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.record_groups(read_table(spark, sf_dir, "document_records"), Scratch(spark, "p2"), linked_only=True)
 
@@ -80,7 +95,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(_texts(spark, sf_dir), read_table(spark, sf_dir, "cut_limits"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_forms, p5_found, p5_parties, p6_found, p6_classes, p7_ids, p7_roundtrip, p8_chosen, p8_shares, p9_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_groups, p4_found, p4_forms, p5_found, p5_parties, p6_found, p6_classes, p7_ids, p7_roundtrip, p8_chosen, p8_shares, p9_pieces)}
 
 _GROUPS = """
 WITH RECURSIVE ids AS (SELECT DISTINCT document_id AS id FROM document_records WHERE document_id IS NOT NULL),

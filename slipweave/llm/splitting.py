@@ -8,6 +8,7 @@ are the part of its tokens, so sizes are sums of a running count.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,11 +66,14 @@ class Layout:
         )
         twice = (before[1:] == 4) & (end[:-2] >= 4) & (after[1:] == 0)  # two line ends in two pre-tokens
         strength[2:-1][twice] = 5
-        self.at, self.before, self.strength = np.concatenate([[0], np.cumsum(chars)]), np.concatenate([[0], np.cumsum(tokens)]), strength
-        self.total = int(self.before[-1])
-        self.word_at, self.word_before = self.at, self.before
+        at, before = np.concatenate([[0], np.cumsum(chars)]), np.concatenate([[0], np.cumsum(tokens)])
+        self.word_at, self.word_before, self.total = at.tolist(), before.tolist(), int(before[-1])
         if len(tokens) and tokens.max() > LONG_WORD:
-            self._open_long(tokens)
+            at, before, strength = self._open_long(tokens, at, before, strength)
+            self.at, self.before = at.tolist(), before.tolist()
+        else:
+            self.at, self.before = self.word_at, self.word_before
+        self.strength = strength.tobytes()
 
     def inside(self, k: int) -> list[tuple[int, int]]:
         """(characters, tokens) before each place inside word k that lies between two characters."""
@@ -85,63 +89,71 @@ class Layout:
                 out.append((chars, i + 1))
         return out
 
-    def _open_long(self, tokens: np.ndarray) -> None:
-        at, before, strength = [], [], []
+    def _open_long(self, tokens: np.ndarray, at: np.ndarray, before: np.ndarray, strength: np.ndarray) -> tuple[np.ndarray, ...]:
+        """All three with the places inside long words."""
+        parts: list[list[np.ndarray]] = [[], [], []]
         done = 0
         for k in np.flatnonzero(tokens > LONG_WORD):
-            at.append(self.at[done : k + 1])
-            before.append(self.before[done : k + 1])
-            strength.append(self.strength[done : k + 1])
+            for part, column in zip(parts, (at, before, strength), strict=True):
+                part.append(column[done : k + 1])
             if places := self.inside(int(k)):
                 c, n = np.array(places).T
-                at.append(self.at[k] + c)
-                before.append(self.before[k] + n)
-                strength.append(np.full(len(places), 0, np.int8))
+                for part, column in zip(parts, (at[k] + c, before[k] + n, np.zeros(len(places), np.int8)), strict=True):
+                    part.append(column)
             done = k + 1
-        self.at = np.concatenate([*at, self.at[done:]])
-        self.before = np.concatenate([*before, self.before[done:]])
-        self.strength = np.concatenate([*strength, self.strength[done:]])
+        return tuple(np.concatenate([*part, column[done:]]) for part, column in zip(parts, (at, before, strength), strict=True))
 
     def cuts(self, limit: int) -> list[int]:
         """Places that cut the text into spans of at most `limit` tokens, where the text has places that near."""
-        out, todo = [], [(0, len(self.at) - 1)]
+        before, strength = self.before, self.strength
+        out, todo = [], [(0, len(before) - 1)]
         while todo:
             lo, hi = todo.pop()
-            size = self.before[hi] - self.before[lo]
+            size = before[hi] - before[lo]
             if size <= limit or hi - lo < 2:
                 out.append(lo)
                 continue
-            middle = (self.before[lo] + self.before[hi]) / 2
-            a = max(lo + 1, int(np.searchsorted(self.before, middle - size * WINDOW / 2)))
-            b = min(hi, int(np.searchsorted(self.before, middle + size * WINDOW / 2, "right")))
+            middle = (before[lo] + before[hi]) / 2
+            a = max(lo + 1, bisect_left(before, middle - size * WINDOW / 2, lo, hi))
+            b = min(hi, bisect_right(before, middle + size * WINDOW / 2, lo, hi))
             if a >= b:
                 a = min(max(lo + 1, a), hi - 1)
                 b = a + 1
-            best = self.strength[a:b]
-            places = a + np.flatnonzero(best == best.max())
-            cut = int(places[np.argmin(np.abs(self.before[places] - middle))])
+            best = max(strength[a:b])
+            m = min(max(bisect_left(before, middle, lo, hi), a), b - 1)
+            left, right = strength.rfind(best, a, m), strength.find(best, m, b)
+            cut = right if left < 0 or (right >= 0 and before[right] - middle < middle - before[left]) else left
             todo.append((cut, hi))
             todo.append((lo, cut))
-        return [*out, len(self.at) - 1]
+        return [*out, len(before) - 1]
 
     def back(self, place: int, overlap: int, room: int) -> tuple[int, int]:
         """(character, tokens before) where a piece begins so that it shares `overlap` tokens with the one before.
 
         A place inside a character is moved back to share more if `room` allows, else forward to share less.
         """
-        target = int(self.before[place]) - overlap
+        here = self.before[place]
+        target = here - overlap
         if overlap <= 0 or place == 0:
-            return int(self.at[place]), int(self.before[place])
+            return self.at[place], here
         if target <= 0:
             return 0, 0
-        k = int(np.searchsorted(self.word_before, target, "right")) - 1
-        spots = [(int(self.word_at[k]), int(self.word_before[k]))]
-        if self.word_before[k] != target:
-            spots += [(int(self.word_at[k]) + c, int(self.word_before[k]) + n) for c, n in self.inside(k)]
-            spots.append((int(self.word_at[k + 1]), int(self.word_before[k + 1])))
-        fits = [s for s in spots if s[1] <= target and int(self.before[place]) - s[1] <= room]
+        k = bisect_right(self.word_before, target) - 1
+        at, first = self.word_at[k], self.word_before[k]
+        if first == target:
+            return at, first
+        spots = [(at, first), *((at + c, first + n) for c, n in self.inside(k)), (self.word_at[k + 1], self.word_before[k + 1])]
+        fits = [s for s in spots if s[1] <= target and here - s[1] <= room]
         return fits[-1] if fits else next(s for s in spots if s[1] > target)
 
+    def shorter_at_end(self, end: int) -> int:
+        """Tokens saved where a piece ends behind blanks: before a word they are two pre-tokens, at the end one."""
+        k = bisect_left(self.word_at, end)
+        if k < 2 or self.word_at[k] != end or not (self.words[k - 1].isspace() and self.words[k - 2].isspace()):
+            return 0
+        words, a, b = self.t.words, self.words[k - 2], self.words[k - 1]
+        return len(words[a]) + len(words[b]) - len(words[a + b])
+
 
 def pieces(t: Transducer, known: dict, text: str, limits: list[tuple[int, int, int]]) -> Iterator[tuple]:
     """(limit_id, piece_no, start_char, new_from, end_char, n_tokens) of a text for each limit it exceeds."""
@@ -154,13 +166,11 @@ def pieces(t: Transducer, known: dict, text: str, limits: list[tuple[int, int, i
         overlap = max(0, min(overlap, most // 2))
         cuts = lay.cuts(most - overlap)
         for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            room = most - int(lay.before[hi] - lay.before[lo])
+            room = most - (lay.before[hi] - lay.before[lo])
             start, tokens = lay.back(lo, overlap, room) if i else (0, 0)
-            end = int(lay.at[hi])
-            n = int(lay.before[hi]) - tokens
-            if end < len(text) and text[end - 2 : end].isspace():
-                n = t.count(text[start:end])  # blanks before a word are two pre-tokens, at the end of a text one
-            yield limit_id, i, start, int(lay.at[lo]), end, n
+            end = lay.at[hi]
+            n = lay.before[hi] - tokens - (lay.shorter_at_end(end) if end < len(text) else 0)
+            yield limit_id, i, start, lay.at[lo], end, n
 
 
 _OUT = "doc_id long, limit_id int, piece_no int, start_char int, new_from int, end_char int, n_tokens int, text string"
