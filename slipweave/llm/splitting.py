@@ -22,8 +22,6 @@ from slipweave.llm.tokenizer import VOCABULARY, Transducer, pre_tokens, transduc
 SENTENCE_END, CLAUSE_END = ".!?。！？…", ",;:、，；："
 #: Part of a span around its middle in which the cut is looked for.
 WINDOW = 0.5
-#: Pre-tokens of more tokens than this may be cut inside.
-LONG_WORD = 16
 MAX_LIMITS = 1000
 
 
@@ -37,6 +35,10 @@ def _describe(t: Transducer, word: str) -> int:
     return n << 32 | len(word) << 8 | start << 4 | end
 
 
+#: Strength of a place by the class of the word end before it and of the word start behind it.
+_STRENGTH = np.array([[0, 1, 1], [0, 1, 1], [0, 2, 2], [0, 3, 3], [4, 1, 1], [5, 1, 1]], np.int8)
+
+
 class _Described(dict):
     def __init__(self, t: Transducer):
         super().__init__()
@@ -54,21 +56,20 @@ class _Described(dict):
 class Layout:
     """Where a text may be cut: characters, tokens before and strength of each place, ends included."""
 
-    def __init__(self, t: Transducer, known: dict, text: str):
-        self.t, self.words, self.text = t, pre_tokens(text), text
+    def __init__(self, t: Transducer, known: dict, text: str, long_word: int):
+        """Words of more than long_word tokens may be cut inside; shorter ones fit beside another word in any piece."""
+        self.t, self.words, self.long_word = t, pre_tokens(text), long_word
         packed = np.fromiter(map(known.__getitem__, self.words), np.int64, len(self.words))
         tokens, chars = packed >> 32, packed >> 8 & 0xFFFFFF
         start, end = packed >> 4 & 15, packed & 15
         strength = np.zeros(len(packed) + 1, np.int8)
         after, before = start[1:], end[:-1]
-        strength[1:-1] = np.select(
-            [(before >= 4) & (after > 0), before == 5, before == 4, (before == 3) & (after > 0), (before == 2) & (after > 0), after > 0], [1, 5, 4, 3, 2, 1], 0
-        )
+        strength[1:-1] = _STRENGTH[before, after]
         twice = (before[1:] == 4) & (end[:-2] >= 4) & (after[1:] == 0)  # two line ends in two pre-tokens
         strength[2:-1][twice] = 5
         at, before = np.concatenate([[0], np.cumsum(chars)]), np.concatenate([[0], np.cumsum(tokens)])
         self.word_at, self.word_before, self.total = at.tolist(), before.tolist(), int(before[-1])
-        if len(tokens) and tokens.max() > LONG_WORD:
+        if len(tokens) and tokens.max() > long_word:
             at, before, strength = self._open_long(tokens, at, before, strength)
             self.at, self.before = at.tolist(), before.tolist()
         else:
@@ -77,14 +78,14 @@ class Layout:
 
     def inside(self, k: int) -> list[tuple[int, int]]:
         """(characters, tokens) before each place inside word k that lies between two characters."""
-        held, chars, out = b"", 0, []
-        data, pos = self.words[k].encode("utf-8", "replace"), 0
-        ids = self.t.words[self.words[k]]
+        chars, pos, out = 0, 0, []
+        data = self.words[k].encode("utf-8", "replace")
+        by_id, ids = self.t.by_id, self.t.words[self.words[k]]
+        ascii_only = len(data) == len(self.words[k])
         for i, token in enumerate(ids[:-1]):
-            piece = self.t.by_id[token]
-            pos += len(piece)
-            held = data[pos - len(piece) : pos]
-            chars += sum(b & 0xC0 != 0x80 for b in held)
+            end = pos + len(by_id[token])
+            chars += end - pos if ascii_only else sum(b & 0xC0 != 0x80 for b in data[pos:end])
+            pos = end
             if data[pos] & 0xC0 != 0x80:
                 out.append((chars, i + 1))
         return out
@@ -93,7 +94,7 @@ class Layout:
         """All three with the places inside long words."""
         parts: list[list[np.ndarray]] = [[], [], []]
         done = 0
-        for k in np.flatnonzero(tokens > LONG_WORD):
+        for k in np.flatnonzero(tokens > self.long_word):
             for part, column in zip(parts, (at, before, strength), strict=True):
                 part.append(column[done : k + 1])
             if places := self.inside(int(k)):
@@ -138,11 +139,13 @@ class Layout:
             return self.at[place], here
         if target <= 0:
             return 0, 0
+        j = bisect_right(self.before, target) - 1
+        if self.before[j] == target:
+            return self.at[j], target
+        spots = [(self.at[j], self.before[j]), (self.at[j + 1], self.before[j + 1])]
         k = bisect_right(self.word_before, target) - 1
-        at, first = self.word_at[k], self.word_before[k]
-        if first == target:
-            return at, first
-        spots = [(at, first), *((at + c, first + n) for c, n in self.inside(k)), (self.word_at[k + 1], self.word_before[k + 1])]
+        if self.word_before[k + 1] - self.word_before[k] <= self.long_word:  # places inside longer words are listed already
+            spots[1:1] = [(spots[0][0] + c, spots[0][1] + n) for c, n in self.inside(k)]
         fits = [s for s in spots if s[1] <= target and here - s[1] <= room]
         return fits[-1] if fits else next(s for s in spots if s[1] > target)
 
@@ -159,7 +162,7 @@ def pieces(t: Transducer, known: dict, text: str, limits: list[tuple[int, int, i
     """(limit_id, piece_no, start_char, new_from, end_char, n_tokens) of a text for each limit it exceeds."""
     if not limits or len(text) <= min(m for _, m, _ in limits) // 4:
         return
-    lay = Layout(t, known, text)
+    lay = Layout(t, known, text, max(1, min(m - min(o, m // 2) for _, m, o in limits) // 3))
     for limit_id, most, overlap in limits:
         if lay.total <= most:
             continue
