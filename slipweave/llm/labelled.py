@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from slipweave.llm import names
 from slipweave.llm.pii import Finder, NameModel, name_spans, train
 
-#: Names sampled from the name fields (lowest hash first), and labelled texts made.
+#: Names sampled from the name fields (those of lowest hash), and labelled texts made.
 SAMPLE_NAMES, LABELLED_TEXTS = 20_000, 6_000
 
 _PLACES = ["Kelmont", "Venn Hill", "Marlow Quay", "Ostfall", "Lomsai", "Nong Talu", "Phraewan", "Ban Rimtham", "Thung Bua", "Green Ford", "Lower Ash", "Khlong Mai"]
@@ -287,9 +287,13 @@ def make(people: list[str], companies: list[str], count: int = LABELLED_TEXTS, s
 def sample_names(reads: DataFrame, limit: int = SAMPLE_NAMES) -> tuple[list[str], list[str]]:
     """Persons' names without title and organisations' names, from at most `limit` values of the two name fields."""
     both = reads.select(F.col("receiver_name")["value"].alias("n")).unionByName(reads.select(F.col("sender_name")["value"].alias("n")))
-    rows = both.where(F.length(F.trim("n")) > 3).select("n", F.xxhash64("n").alias("h")).distinct().orderBy("h", "n").limit(limit).collect()
+    total = max(2 * reads.count(), 1)
+    # A share of the hash space that holds about `limit` values, so no task sends more than its part of them.
+    share = int(min(1.0, limit / total) * 2**31)
+    part = both.where((F.length(F.trim("n")) > 3) & (F.pmod(F.xxhash64("n"), F.lit(2**31)) < share)).distinct()
+    rows = sorted(part.limit(2 * limit).collect())
     people, companies = [], []
-    for (n, _) in rows:
+    for (n,) in rows[:limit]:
         kind = names.parse(n)[3]
         if kind == "o":
             companies.append(n)

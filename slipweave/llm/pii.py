@@ -85,6 +85,10 @@ class NameModel:
         self.org = {g: log["p"].get(g, least["p"]) - log["o"].get(g, least["o"]) for g in every}
         self.other = {g: log["p"].get(g, least["p"]) - log["x"].get(g, least["x"]) for g in every}
         self.seen: dict[str, tuple[float, float]] = {}
+        self.lines: dict[tuple[str, int], tuple] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": {}, "lines": {}}
 
     @staticmethod
     def grams(text: str) -> list[str]:
@@ -158,21 +162,21 @@ def name_spans(text: str) -> Iterator[tuple[int, int, int, int]]:
             yield from _named(start, end, title, n, honorific)
 
 
-def _before(text: str, at: int) -> tuple[int, int]:
-    """Class of the nearest announcing word before a place, on its line or alone on the line above, and how far it is."""
-    line = text.rfind("\n", 0, at) + 1
-    head = text[max(line, at - 60) : at]
-    words = list(_PREVIOUS_WORD.finditer(head))
-    for k, m in enumerate(reversed(words[-3:])):
-        c = CLASS_OF.get(m.group().casefold())
+def _before(line: str, at: int, above: int) -> tuple[int, int]:
+    """Class of the nearest announcing word before a place and how far it is; for the first word, of the line above."""
+    head = line[max(0, at - 60) : at]
+    words = _PREVIOUS_WORD.findall(head)
+    for k, w in enumerate(reversed(words[-3:])):
+        c = CLASS_OF.get(w.casefold())
         if c:
             return c, k
-    if not head.strip(" \t") and line:
-        above = text[text.rfind("\n", 0, line - 1) + 1 : line - 1].strip().rstrip(":").casefold()
-        c = CLASS_OF.get(above) or CLASS_OF.get(above.split(" ")[0] if above else "")
-        if c:
-            return c, 5
-    return 0, 9
+    return (above, 5) if above and not words and not head.strip() else (0, 9)
+
+
+def _announces(line: str) -> int:
+    """Class of a line that is nothing but an announcing word, or begins with one."""
+    whole = line.strip().rstrip(":").casefold()
+    return CLASS_OF.get(whole) or CLASS_OF.get(whole.split(" ")[0] if whole else "", 0)
 
 
 _CHARS = {"\n": 1, " ": 2, "": 0, ":": 6, "(": 7, ")": 7, "*": 8, "x": 8, "X": 8, "/": 9, ",": 10, "-": 11, ".": 12}
@@ -189,68 +193,96 @@ def _citizen(digits: str) -> int:
 FEATURES = 27
 
 
+#: Lines whose candidates are kept: slips repeat most of theirs.
+KEPT_LINES = 60_000
+_MAIL_SIGN = re.compile("[@＠]|[(\\[]\\s?at\\s?[)\\]]|\\sat\\s", re.I)
+_SOME_DIGITS = re.compile("\\d[^\\d]{0,3}\\d(?:[^\\d]{0,3}\\d){5}")
+_ADDRESS_SIGN = re.compile(rf"หมู่|ม\.|ซ\.|ซอย|ถ\.|ถนน|ต\.|แขวง|ปณ|moo\b|soi\b|tambon|box|unit|flat|apt|suite|room|\b{_STREET}\b|\d,\s+\d{{5}}\b", re.I)
+
+
 def candidates(text: str, model: NameModel) -> list[tuple[int, int, int, list[float]]]:
-    """(kind, start, end, features) of every proposed span."""
+    """(kind, start, end, features) of every proposed span. Features look no further than the line and the one above."""
+    out: list[tuple[int, int, int, list[float]]] = []
+    kept, at, above = model.lines, 0, 0
+    for line in text.split("\n"):
+        if line:
+            known = kept.get((line, above))
+            if known is None:
+                if len(kept) >= KEPT_LINES:
+                    kept.clear()
+                known = (_line_candidates(line, above, model), _announces(line))
+                if len(line) <= 200:
+                    kept[(line, above)] = known
+            for kind, a, b, f in known[0]:
+                out.append((kind, at + a, at + b, f))
+            above = known[1]
+        else:
+            above = 0
+        at += len(line) + 1
+    return out
+
+
+def _line_candidates(text: str, above: int, model: NameModel) -> list[tuple[int, int, int, list[float]]]:
     out: list[tuple[int, int, int, list[float]]] = []
-    mails = []
+    mails: list[tuple[int, int]] = []
+    size = len(text)
 
     def add(kind: int, a: int, b: int, *own: float) -> None:
-        word, far = _before(text, a)
+        word, far = _before(text, a, above)
         span = text[a:b]
-        before, after = text[a - 1 : a] if a else "", text[b : b + 1]
-        line_a, line_b = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-        line_b = len(text) if line_b < 0 else line_b
         after_word = _PREVIOUS_WORD.match(text, b + 1)
         next_class = CLASS_OF.get(after_word.group().casefold(), 0) if after_word else 0
-        digits = sum(c.isdigit() for c in span)
-        general = [kind, b - a, digits, word, far, _char(before), _char(after), next_class, a - line_a, line_b - b, float(a == line_a), span.count(" ")]
-        out.append((kind, a, b, general + list(own) + [0.0] * (FEATURES - len(general) - len(own))))
-
-    for m in EMAIL.finditer(text):
-        mails.append(m.span())
-        add(0, *m.span(), float("@" in m.group()), float(m.group().count(".")))
+        digits = sum(map(str.isdigit, span)) if kind != 4 else 0
+        f = [kind, b - a, digits, word, far, _char(text[a - 1]) if a else 1, _char(text[b : b + 1]) if b < size else 1, next_class, a, size - b, float(a == 0), span.count(" "), *own]
+        out.append((kind, a, b, f + [0.0] * (FEATURES - len(f))))
+
+    if _MAIL_SIGN.search(text):
+        for m in EMAIL.finditer(text):
+            mails.append(m.span())
+            add(0, *m.span(), float("@" in m.group()), float(m.group().count(".")))
     hidden = lambda a: any(x <= a < y for x, y in mails)
     places: list[tuple[int, int]] = []
-    for m in ADDRESS.finditer(text):
-        a = m.start()
-        if hidden(a) or (places and a < places[-1][1]):
-            continue
-        stop = ADDRESS_END.search(text, m.end())
-        b = stop.start() if stop else len(text)
-        places.append((a, b))
-        span = text[a:b]
-        add(3, a, b, len(ADDRESS_WORD.findall(span)), float(bool(re.search(r"\d{5}\s*$|\d{5}\b", span))), float(span[0].isdigit()), float(span[:1].isupper()), float("/" in span[:8]))
-    for m in NUMBER.finditer(text):
-        a, b = m.span()
-        if b - a < 8 or hidden(a):
-            continue
-        if text[a] == "(" and ")" not in text[a : a + 6]:
-            a += 1
-        raw = text[a:b]
-        digits = "".join(str(int(c)) for c in raw if c.isdigit())
-        if not 8 <= len(digits) <= 15:
-            continue
-        groups = re.findall(r"\d+", raw)
-        shape = (
-            len(digits), len(groups), len(groups[0]), len(groups[-1]), float(raw[0] == "+"), float(digits.startswith("00")), float(digits[0] == "0"), float(raw[0] == "("), _citizen(digits), int(digits[0]),
-            float(raw.count(".")), float(raw.count("-")), float(a > 0 and text[a - 1] in "-./:,"), max(len(g) for g in groups), float(text[b : b + 1].isalpha()),
-        )
-        add(1, a, b, *shape)
-        if len(digits) == 13:
-            add(2, a, b, *shape)
-    for m in PASSPORT.finditer(text):
-        if not hidden(m.start()):
-            add(2, *m.span(), sum(c.isdigit() for c in m.group()), 1, 0, 0, 0, 0, 0, 0, 0, 10)
+    if _ADDRESS_SIGN.search(text):
+        for m in ADDRESS.finditer(text):
+            a = m.start()
+            if hidden(a) or (places and a < places[-1][1]):
+                continue
+            stop = ADDRESS_END.search(text, m.end())
+            b = stop.start() if stop else size
+            places.append((a, b))
+            span = text[a:b]
+            add(3, a, b, len(ADDRESS_WORD.findall(span)), float(bool(re.search(r"\d{5}\s*$|\d{5}\b", span))), float(span[0].isdigit()), float(span[:1].isupper()), float("/" in span[:8]))
+    if _SOME_DIGITS.search(text):
+        for m in NUMBER.finditer(text):
+            a, b = m.span()
+            if b - a < 8 or hidden(a):
+                continue
+            if text[a] == "(" and ")" not in text[a : a + 6]:
+                a += 1
+            raw = text[a:b]
+            digits = "".join(str(int(c)) for c in raw if c.isdigit())
+            if not 8 <= len(digits) <= 15:
+                continue
+            groups = re.findall(r"\d+", raw)
+            shape = (
+                len(digits), len(groups), len(groups[0]), len(groups[-1]), float(raw[0] == "+"), float(digits.startswith("00")), float(digits[0] == "0"), float(raw[0] == "("), _citizen(digits), int(digits[0]),
+                float(raw.count(".")), float(raw.count("-")), float(a > 0 and text[a - 1] in "-./:,"), max(len(g) for g in groups), float(text[b : b + 1].isalpha()),
+            )
+            add(1, a, b, *shape)
+            if len(digits) == 13:
+                add(2, a, b, *shape)
+        for m in PASSPORT.finditer(text):
+            if not hidden(m.start()):
+                add(2, *m.span(), sum(c.isdigit() for c in m.group()), 1, 0, 0, 0, 0, 0, 0, 0, 10)
     for a, b, title, n in name_spans(text):
-        if hidden(a) or n > 6 or any(x <= a < y for x, y in places):
+        if n > 6 or b - a < 3 or (n == 1 and not title and b - a < 4) or hidden(a) or any(x <= a < y for x, y in places):
             continue
         span = text[a:b]
         tokens = span.split()
         latin = sum(t[:1].isupper() for t in tokens)
         org, other = model.score(span)
-        rest = text[a : (text.find("\n", b) if text.find("\n", b) >= 0 else len(text))]
         add(
-            4, a, b, title, n, latin / max(len(tokens), 1), float(span.isupper()), float("฀" <= span[0] <= "๿"), org, other, float(bool(ORG_WORDS.search(rest[: b - a + 14]))),
+            4, a, b, title, n, latin / max(len(tokens), 1), float(span.isupper()), float("฀" <= span[0] <= "๿"), org, other, float(bool(ORG_WORDS.search(text, a, b + 14))),
             max(map(len, tokens), default=0), min(map(len, tokens), default=0), float("," in span), float(b - a > 2 and span.endswith(".")), float(span.islower()),
         )
     return out
