@@ -23,6 +23,8 @@ SENTENCE_END, CLAUSE_END = ".!?。！？…", ",;:、，；："
 #: Part of a span around its middle in which the cut is looked for.
 WINDOW = 0.5
 MAX_LIMITS = 1000
+#: Words whose descriptions are kept, and the longest of them in characters.
+KEPT_WORDS, KEPT_LENGTH = 200_000, 48
 
 
 def _describe(t: Transducer, word: str) -> int:
@@ -39,16 +41,33 @@ def _describe(t: Transducer, word: str) -> int:
 _STRENGTH = np.array([[0, 1, 1], [0, 1, 1], [0, 2, 2], [0, 3, 3], [4, 1, 1], [5, 1, 1]], np.int8)
 
 
+def _places(t: Transducer, word: str) -> list[tuple[int, int]]:
+    chars, pos, out = 0, 0, []
+    data, ids = word.encode("utf-8", "replace"), t.words[word]
+    one_byte = len(data) == len(word)
+    for i, token in enumerate(ids[:-1]):
+        end = pos + len(t.by_id[token])
+        chars += end - pos if one_byte else sum(b & 0xC0 != 0x80 for b in data[pos:end])
+        pos = end
+        if data[pos] & 0xC0 != 0x80:
+            out.append((chars, i + 1))
+    return out
+
+
 class _Described(dict):
+    """Descriptions of words met before, and the places inside them; emptied when there are too many."""
+
     def __init__(self, t: Transducer):
         super().__init__()
         self.t = t
+        self.places: dict[str, list[tuple[int, int]]] = {}
 
     def __missing__(self, word: str) -> int:
         out = _describe(self.t, word)
-        if len(word) <= 48:
-            if len(self) > 200_000:
+        if len(word) <= KEPT_LENGTH:
+            if len(self) > KEPT_WORDS:
                 self.clear()
+                self.places.clear()
             self[word] = out
         return out
 
@@ -56,9 +75,9 @@ class _Described(dict):
 class Layout:
     """Where a text may be cut: characters, tokens before and strength of each place, ends included."""
 
-    def __init__(self, t: Transducer, known: dict, text: str, long_word: int):
+    def __init__(self, t: Transducer, known: _Described, text: str, long_word: int):
         """Words of more than long_word tokens may be cut inside; shorter ones fit beside another word in any piece."""
-        self.t, self.words, self.long_word = t, pre_tokens(text), long_word
+        self.t, self.known, self.words, self.long_word = t, known, pre_tokens(text), long_word
         packed = np.fromiter(map(known.__getitem__, self.words), np.int64, len(self.words))
         tokens, chars = packed >> 32, packed >> 8 & 0xFFFFFF
         start, end = packed >> 4 & 15, packed & 15
@@ -78,17 +97,13 @@ class Layout:
 
     def inside(self, k: int) -> list[tuple[int, int]]:
         """(characters, tokens) before each place inside word k that lies between two characters."""
-        chars, pos, out = 0, 0, []
-        data = self.words[k].encode("utf-8", "replace")
-        by_id, ids = self.t.by_id, self.t.words[self.words[k]]
-        ascii_only = len(data) == len(self.words[k])
-        for i, token in enumerate(ids[:-1]):
-            end = pos + len(by_id[token])
-            chars += end - pos if ascii_only else sum(b & 0xC0 != 0x80 for b in data[pos:end])
-            pos = end
-            if data[pos] & 0xC0 != 0x80:
-                out.append((chars, i + 1))
-        return out
+        word = self.words[k]
+        known = self.known.places.get(word)
+        if known is None:
+            known = _places(self.t, word)
+            if len(word) <= KEPT_LENGTH:
+                self.known.places[word] = known
+        return known
 
     def _open_long(self, tokens: np.ndarray, at: np.ndarray, before: np.ndarray, strength: np.ndarray) -> tuple[np.ndarray, ...]:
         """All three with the places inside long words."""
@@ -158,7 +173,7 @@ class Layout:
         return len(words[a]) + len(words[b]) - len(words[a + b])
 
 
-def pieces(t: Transducer, known: dict, text: str, limits: list[tuple[int, int, int]]) -> Iterator[tuple]:
+def pieces(t: Transducer, known: _Described, text: str, limits: list[tuple[int, int, int]]) -> Iterator[tuple]:
     """(limit_id, piece_no, start_char, new_from, end_char, n_tokens) of a text for each limit it exceeds."""
     if not limits or len(text) <= min(m for _, m, _ in limits) // 4:
         return
