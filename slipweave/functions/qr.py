@@ -63,16 +63,25 @@ def payload_format(payload: Column, entries: Column, account: Column) -> Column:
     )
 
 
+def _crc_table() -> list[int]:
+    """The remainder that each leading byte leaves, from the polynomial."""
+    out = []
+    for byte in range(256):
+        rest = byte << 8
+        for _ in range(8):
+            rest = (rest << 1 ^ CRC_POLY if rest & 0x8000 else rest << 1) & 0xFFFF
+        out.append(rest)
+    return out
+
+
 def crc16(text: Column) -> Column:
     """CRC-16 with initial value FFFF and polynomial 1021 over the characters of an ASCII text, four upper hex digits."""
 
+    table = F.array(*[F.lit(x) for x in _crc_table()])
+
     def byte(crc: Column, ch: Column) -> Column:
-        mixed = crc.bitwiseXOR(F.shiftleft(F.ascii(ch), 8)).bitwiseAND(F.lit(0xFFFF))
-        for _ in range(8):
-            left = F.shiftleft(mixed, 1)
-            mixed = F.when(mixed.bitwiseAND(F.lit(0x8000)) != 0, left.bitwiseXOR(F.lit(CRC_POLY))).otherwise(left).bitwiseAND(F.lit(0xFFFF))
-            mixed = F.transform(F.array(mixed), lambda x: x)[0]  # names the value once: the next bit uses it three times
-        return mixed
+        at = F.shiftright(crc, 8).bitwiseXOR(F.ascii(ch)).bitwiseAND(F.lit(0xFF))
+        return F.shiftleft(crc, 8).bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(F.get(table, at))
 
     return F.lpad(F.hex(F.aggregate(F.split(text, ""), F.lit(CRC_INIT), byte)), 4, "0")
 
@@ -80,8 +89,8 @@ def crc16(text: Column) -> Column:
 def crc_state(payload: Column, value: Column) -> Column:
     """(state, computed): MISSING, VALID or INVALID by the last 6304 + value of the payload."""
     mark = F.concat(F.lit("6304"), value)
-    # Position of the last occurrence: everything up to it is the greedy part before the mark.
-    last = F.length(payload) - F.length(F.substring_index(payload, mark, -1)) - F.length(mark) + 1
+    # The last occurrence is the first one in the reversed text.
+    last = F.length(payload) - F.position(F.reverse(mark), F.reverse(payload)) - F.length(mark) + 2
     computed = crc16(F.concat(payload.substr(F.lit(1), last + 3), F.lit("0000"), payload.substr(last + 8, F.length(payload))))
     there = non_empty(value) & F.contains(payload, mark)
     return F.struct(F.when(~F.coalesce(there, F.lit(False)), "MISSING").when(computed == value, "VALID").otherwise("INVALID").alias("state"), F.when(there, computed).alias("computed"))

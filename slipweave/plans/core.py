@@ -4,30 +4,419 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipweave.operators import timestamps
+from slipweave.functions import hashing, labels, qr, quality, slips, text
+from slipweave.operators import assess, dedup, registry, review, timestamps
+from slipweave.sources import files
 from slipweave.sources.tables import read_table
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, with its SQL where SQL can say it."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.latest_versions(read_table(spark, sf_dir, "document_records"))
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest read of each document; a read delivered again counts once."""
+    return dedup.latest_versions(read_table(spark, sf_dir, "slip_reads").dropDuplicates(["read_id"]).withColumn("_at", F.col("read_at")), by="_at").drop("_at")
+
+
+# The same registry in SQL: the version updated last; rows of one time differ in nothing but the match.
+_REG = """
+reg AS (SELECT * FROM document_records WHERE document_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY updated_at DESC, matched_document_id DESC NULLS LAST) = 1)"""
+_HASHED = (
+    _REG
+    + """,
+hashed AS (SELECT user_id, document_id, created_at, perceptual_hash,
+    CASE WHEN regexp_full_match(perceptual_hash, '[0-9a-fA-F]{16}') THEN ('0x' || perceptual_hash)::UBIGINT END AS bits
+  FROM reg WHERE perceptual_hash IS NOT NULL AND user_id IS NOT NULL)"""
+)
+_EARLIER = "(c.created_at < p.created_at OR (c.created_at = p.created_at AND c.document_id < p.document_id))"
+_POOL = """,
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, document_id) AS r FROM hashed) WHERE r <= 200 AND bits IS NOT NULL)"""
+_PAIRS = (
+    _HASHED
+    + _POOL
+    + f""",
+pairs AS (SELECT p.document_id, p.user_id, c.document_id AS candidate_id, c.created_at AS candidate_created, bit_count(xor(p.bits, c.bits)) AS distance
+  FROM hashed p JOIN pool c ON p.user_id = c.user_id AND {_EARLIER} WHERE bit_count(xor(p.bits, c.bits)) <= 8)"""
+)
+_EXACT = """,
+exact AS (SELECT document_id, user_id, first_value(document_id) OVER (PARTITION BY user_id, lower(exact_hash) ORDER BY created_at, document_id) AS matched_id
+  FROM reg WHERE exact_hash IS NOT NULL AND user_id IS NOT NULL QUALIFY matched_id <> document_id),
+best AS (SELECT document_id, user_id, candidate_id AS matched_id, distance FROM pairs
+  QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY distance, candidate_created, candidate_id) = 1)"""
+
+
+# --- duplicates -------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_PAIRS}{_EXACT} SELECT document_id, user_id, matched_id FROM exact")
+def exact_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_first_seen(_registry(spark, sf_dir))
+
+
+@query(f"WITH {_PAIRS}{_EXACT} SELECT document_id, user_id, matched_id, distance::INTEGER AS distance, round(1 - distance / 64.0, 4)::DOUBLE AS similarity FROM best")
+def near_dup_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.best_match(dedup.near_pairs(_registry(spark, sf_dir)))
+
+
+@query(f"""WITH {_HASHED} SELECT p.document_id, count(*) AS n_candidates, min(bit_count(xor(p.bits, c.bits)))::INTEGER AS nearest
+FROM hashed p JOIN hashed c ON p.user_id = c.user_id AND {_EARLIER} WHERE bit_count(xor(p.bits, c.bits)) <= 8 GROUP BY p.document_id""")
+def near_dup_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = dedup.near_pairs(_registry(spark, sf_dir), limit=None)
+    return pairs.groupBy("document_id").agg(F.count("*").alias("n_candidates"), F.min("distance").alias("nearest"))
+
+
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = _registry(spark, sf_dir)
+    best = dedup.best_match(dedup.near_pairs(reg)).select("*", F.lit(False).alias("suppressed"), F.array().cast("array<string>").alias("reasons"))
+    return dedup.decide(reg, dedup.exact_first_seen(reg), best)
+
+
+_DECIDED = f"""WITH {_PAIRS}{_EXACT}, decided AS (SELECT r.document_id, r.user_id,
+  CASE WHEN e.matched_id IS NOT NULL THEN 'EXACT_DUPLICATE' WHEN b.matched_id IS NOT NULL THEN 'LIKELY_DUPLICATE' ELSE 'NEW' END AS duplicate_status,
+  CASE WHEN e.matched_id IS NOT NULL THEN 'EXACT_DUPLICATE' WHEN b.matched_id IS NOT NULL THEN 'LIKELY_DUPLICATE_REVIEW' ELSE 'NEW_UPLOAD' END AS decision,
+  CASE WHEN e.matched_id IS NULL AND b.matched_id IS NOT NULL THEN 'IMAGE_SIMILARITY_ONLY' ELSE '' END AS reasons, coalesce(e.matched_id, b.matched_id) AS matched_id,
+  CASE WHEN e.matched_id IS NOT NULL THEN 1.0::DOUBLE ELSE round(1 - b.distance / 64.0, 4)::DOUBLE END AS similarity,
+  CASE WHEN e.matched_id IS NULL AND b.matched_id IS NOT NULL THEN 'PENDING' ELSE 'NOT_REQUIRED' END AS review_status
+  FROM reg r LEFT JOIN exact e USING (document_id) LEFT JOIN best b ON b.document_id = r.document_id) """
+
+
+@query(_DECIDED + "SELECT * FROM decided")
+def duplicate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decisions(spark, sf_dir).withColumn("reasons", F.array_join("reasons", ";"))
+
+
+@query(_DECIDED + """SELECT user_id, count(*) AS total, count(*) FILTER (duplicate_status = 'EXACT_DUPLICATE') AS exact,
+count(*) FILTER (duplicate_status = 'LIKELY_DUPLICATE') AS likely, count(*) FILTER (duplicate_status = 'NEW') AS new FROM decided GROUP BY user_id""")
+def decision_counts_by_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda s: F.count_if(F.col("duplicate_status") == s)
+    return _decisions(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("total"), n("EXACT_DUPLICATE").alias("exact"), n("LIKELY_DUPLICATE").alias("likely"), n("NEW").alias("new"))
+
+
+@query(f"""WITH {_PAIRS}, seen AS (SELECT DISTINCT user_id, least(document_a_id, document_b_id) AS a, greatest(document_a_id, document_b_id) AS b FROM review_pairs)
+SELECT document_id, candidate_id, distance::INTEGER AS distance FROM pairs p
+WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = p.user_id AND s.a = least(p.document_id, p.candidate_id) AND s.b = greatest(p.document_id, p.candidate_id))""")
+def reviewed_pair_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = dedup.near_pairs(_registry(spark, sf_dir))
+    return dedup.without_reviewed(pairs, read_table(spark, sf_dir, "review_pairs")).select("document_id", "candidate_id", "distance")
+
+
+EVIDENCE = ["amount", "transaction_reference", "receiver_name", "sender_name", "date_time", "receiver_bank"]
+
+
+@query()
+def suppressed_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates after evidence: the nearest candidate that no slip field contradicts, else the reasons."""
+    reg = _registry(spark, sf_dir)
+    evidence = reg.select("document_id", "document_type").join(_reads(spark, sf_dir).select("document_id", *EVIDENCE), "document_id")
+    resolved = assess.resolve(dedup.near_pairs(reg), evidence, EVIDENCE)
+    return dedup.decide(reg, dedup.exact_first_seen(reg), resolved).where("decision <> 'NEW_UPLOAD'").withColumn("reasons", F.array_join("reasons", ";"))
+
+
+_OUTCOME = """CASE WHEN quality_status = 'FAIL' THEN 'qualityRejected' WHEN duplicate_decision_type = 'EXACT_DUPLICATE' OR duplicate_status = 'EXACT_DUPLICATE' THEN 'exactDuplicate'
+WHEN duplicate_decision_type = 'LIKELY_DUPLICATE_REVIEW' OR duplicate_status = 'LIKELY_DUPLICATE' THEN 'reviewNeeded' WHEN duplicate_decision_type = 'SUPPRESSED_NEAR_DUPLICATE' THEN 'suppressed' ELSE 'newUpload' END"""
+
+
+@query(f"""WITH {_REG}, items AS (SELECT intake_batch, {_OUTCOME} AS outcome FROM reg) SELECT intake_batch, count(*) AS total, count(*) FILTER (outcome = 'exactDuplicate') AS exact,
+count(*) FILTER (outcome = 'reviewNeeded') AS review_needed, count(*) FILTER (outcome = 'newUpload') AS new, count(*) FILTER (outcome = 'suppressed') AS suppressed,
+count(*) FILTER (outcome = 'qualityRejected') AS rejected, count(*) FILTER (outcome = 'failed') AS failed FROM items GROUP BY intake_batch""")
+def batch_outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = dedup.batch_outcome(F.lit("completed"), F.col("quality_status"), F.col("duplicate_status"), F.col("duplicate_decision_type"))
+    return dedup.uploads_by_outcome(_registry(spark, sf_dir).withColumn("outcome", outcome), ["intake_batch"])
+
+
+# --- registry -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_REG} SELECT document_type, review_status, count(*) AS n FROM reg WHERE duplicate_status = 'LIKELY_DUPLICATE' AND document_type = 'BANK_TRANSFER_SLIP' GROUP BY document_type, review_status")
+def dashboard_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = registry.filtered(_registry(spark, sf_dir), duplicate_status="LIKELY_DUPLICATE", document_type="BANK_TRANSFER_SLIP", review_status="all")
+    return rows.groupBy("document_type", "review_status").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_REG} SELECT 'all' AS preset, count(*) AS n FROM reg UNION ALL SELECT 'needs_review', count(*) FROM reg WHERE review_status = 'PENDING'
+UNION ALL SELECT 'exact_duplicates', count(*) FROM reg WHERE duplicate_status = 'EXACT_DUPLICATE' UNION ALL SELECT 'likely_duplicates', count(*) FROM reg WHERE duplicate_status = 'LIKELY_DUPLICATE'
+UNION ALL SELECT 'suppressed', count(*) FROM reg WHERE duplicate_decision_type = 'SUPPRESSED_NEAR_DUPLICATE'""")
+def preset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = lambda equal: [F.coalesce(F.col(c) == v, F.lit(False)) for c, v in equal.items()] or [F.lit(True)]
+    flags = F.array(*[F.struct(F.lit(name).alias("preset"), fits(equal)[0].alias("fits")) for name, equal in registry.PRESETS.items()])
+    return _registry(spark, sf_dir).select(F.explode(flags).alias("p")).groupBy("p.preset").agg(F.count_if("p.fits").alias("n"))
+
+
+@query(f"""WITH {_REG} SELECT document_id, original_filename, cast(round(similarity_score, 4) AS DOUBLE) AS similarity FROM reg WHERE duplicate_status = 'LIKELY_DUPLICATE'
+ORDER BY created_at DESC, document_id DESC LIMIT 10 OFFSET 10""")
+def queue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = registry.filtered(_registry(spark, sf_dir), duplicate_status="LIKELY_DUPLICATE")
+    return registry.page(rows, "newest", 2).select("document_id", "original_filename", F.round("similarity_score", 4).alias("similarity"))
+
+
+@query(f"WITH {_REG} SELECT user_id, count(*) AS total, greatest(1, ceil(count(*) / 10.0))::BIGINT AS pages FROM reg WHERE duplicate_status = 'LIKELY_DUPLICATE' GROUP BY user_id")
+def queue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.page_counts(registry.filtered(_registry(spark, sf_dir), duplicate_status="LIKELY_DUPLICATE"), ["user_id"])
+
+
+@query(f"""WITH {_REG} SELECT document_id, user_id, (row_number() OVER w)::INTEGER AS position, lag(document_id) OVER w AS previous_id, lead(document_id) OVER w AS next_id
+FROM reg WHERE duplicate_status = 'LIKELY_DUPLICATE' WINDOW w AS (PARTITION BY user_id ORDER BY created_at, document_id)""")
+def queue_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.neighbours(registry.filtered(_registry(spark, sf_dir), duplicate_status="LIKELY_DUPLICATE"), "oldest")
+
+
+@query(f"""WITH {_REG} SELECT a.document_id, a.matched_document_id, b.original_filename AS matched_original_filename, b.duplicate_status AS matched_duplicate_status
+FROM reg a LEFT JOIN reg b ON a.user_id = b.user_id AND a.matched_document_id = b.document_id AND regexp_full_match(a.matched_document_id, '[0-9a-fA-F]{{24}}') WHERE a.matched_document_id IS NOT NULL""")
+def matched_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = _registry(spark, sf_dir)
+    out = registry.with_matched(reg.where(F.col("matched_document_id").isNotNull()), reg, ["original_filename", "duplicate_status"])
+    return out.select("document_id", "matched_document_id", "matched_original_filename", "matched_duplicate_status")
+
+
+_READS = """reads AS (SELECT * FROM slip_reads WHERE document_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY read_at DESC, read_id DESC) = 1)"""
+_BASIC = "regexp_replace(trim(lower({0})), '\\s+', ' ', 'g')"
+
+
+def _search(spark: SparkSession, sf_dir: str, words: str) -> DataFrame:
+    fields = {f: F.col(f)["value"] for f in registry.SEARCH_FIELDS}
+    return _reads(spark, sf_dir).where(registry.matches_search(words, fields)).select("document_id", "read_id")
+
+
+@query()
+def field_search_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, "Lotus Bank")
+
+
+@query()
+def field_search_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, "1,500.00")
+
+
+@query("SELECT read_id, amount.value AS raw, CASE WHEN regexp_full_match(regexp_replace(amount.value, '[^0-9.]', '', 'g'), '[0-9]+\\.?[0-9]*|\\.[0-9]+') "
+       "THEN printf('%.2f', try_cast(regexp_replace(amount.value, '[^0-9.]', '', 'g') AS DOUBLE)) ELSE lower(trim(amount.value)) END AS search_key, "
+       "try_cast(regexp_extract(regexp_replace(amount.value, '[^0-9.]', '', 'g'), '^([0-9]+\\.?[0-9]*|\\.[0-9]+)', 1) AS DOUBLE) AS number FROM (SELECT DISTINCT read_id, amount FROM slip_reads) WHERE amount.value IS NOT NULL")
+def amount_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("amount")["value"]
+    rows = read_table(spark, sf_dir, "slip_reads").select("read_id", "amount").distinct().where(v.isNotNull())
+    return rows.select("read_id", v.alias("raw"), text.amount_search_key(v).alias("search_key"), text.amount_number(v).alias("number"))
+
+
+_REFS = "regexp_extract({0}, '^([0-9OIl]{{9,20}})([A-Za-z]{{3,5}}?)([0-9OIl]{{4,}})$', {1})"
+
+
+@query("WITH r AS (SELECT DISTINCT read_id, transaction_reference.value AS v FROM slip_reads WHERE regexp_full_match(transaction_reference.value, '[0-9A-Za-z-]+')), "
+       f"p AS (SELECT read_id, v, regexp_matches(v, '^[0-9OIl]{{9,20}}[A-Za-z]{{3,5}}?[0-9OIl]{{4,}}$') AS bank, translate(upper({_REFS.format('v', 1)}), 'OIL', '011') AS a, "
+       f"upper({_REFS.format('v', 2)}) AS b, translate(upper({_REFS.format('v', 3)}), 'OIL', '011') AS c FROM r) SELECT read_id, CASE WHEN bank THEN "
+       "(CASE WHEN length(ltrim(a, '0')) >= 8 THEN ltrim(a, '0') ELSE right(a, greatest(8, length(ltrim(a, '0')))) END) || b || c ELSE lower(v) END AS reference_key FROM p")
+def reference_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("transaction_reference")["value"]
+    rows = read_table(spark, sf_dir, "slip_reads").select("read_id", v.alias("v")).distinct().where(F.col("v").rlike("^[0-9A-Za-z-]+\\z"))
+    return rows.select("read_id", text.reference_key(F.col("v")).alias("reference_key"))
+
+
+@query("SELECT entry_id, nullif(left(regexp_replace(regexp_replace(note, '^[\\s]+|[\\s]+$', '', 'g'), '[\\s]+', ' ', 'g'), 500), '') AS note FROM (SELECT DISTINCT entry_id, note FROM review_history)")
+def note_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "review_history").select("entry_id", "note").distinct()
+    return rows.select("entry_id", text.note(F.col("note")).alias("note"))
+
+
+@query(f"WITH {_READS} SELECT x.document_id, CASE WHEN x.sender_name.value IS NULL AND x.receiver_name.value IS NULL THEN true WHEN x.sender_name.value IS NULL OR x.receiver_name.value IS NULL THEN false "
+       "ELSE trim(lower(x.sender_name.value)) = trim(lower(x.receiver_name.value)) END AS same_party FROM reads x")
+def compare_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reads(spark, sf_dir).select("document_id", text.values_match(F.col("sender_name")["value"], F.col("receiver_name")["value"]).alias("same_party"))
+
+
+@query(f"""WITH {_REG} SELECT document_id, CASE document_type WHEN 'BANK_TRANSFER_SLIP' THEN 'Bank transfer slip' WHEN 'DEPOSIT_PAYMENT_SLIP' THEN 'Deposit / payment slip' WHEN 'CHEQUE' THEN 'Cheque' ELSE 'Unknown' END AS type_label,
+CASE WHEN file_size < 1024 THEN printf('%d B', file_size) WHEN file_size < 1048576 THEN printf('%.1f KB', round(file_size / 1024.0, 1)) ELSE printf('%.1f MB', round(file_size / 1048576.0, 1)) END AS size_label,
+'documents/' || regexp_replace(user_id, '[^a-zA-Z0-9_-]', '_', 'g') || '/' || document_id || '/original.' || CASE mime_type WHEN 'image/jpeg' THEN 'jpg' WHEN 'image/png' THEN 'png' WHEN 'image/webp' THEN 'webp' ELSE 'bin' END AS object_key
+FROM reg""")
+def record_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _registry(spark, sf_dir).select(
+        "document_id", labels.label(F.col("document_type"), labels.DOCUMENT_TYPES).alias("type_label"), text.file_size_label(F.col("file_size")).alias("size_label"),
+        files.object_key(F.col("user_id"), F.col("document_id"), F.col("mime_type")).alias("object_key"),
+    )
+
+
+@query()
+def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = _registry(spark, sf_dir)
+    full = registry.with_matched(reg, reg, ["original_filename"]).join(_reads(spark, sf_dir).drop("user_id", "status"), "document_id", "left")
+    return registry.export_lines(full)
+
+
+# --- review -------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT user_id, least(document_a_id, document_b_id) AS document_a_id, greatest(document_a_id, document_b_id) AS document_b_id,
+arg_max(decision, (updated_at, reviewed_at, decision)) AS decision, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS created_at FROM review_pairs GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY 1, 2, 3"))
+def pair_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = read_table(spark, sf_dir, "review_pairs")
+    merged = review.merge_pairs(pairs.limit(0), pairs)
+    return merged.select("user_id", "document_a_id", "document_b_id", "decision", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@query("""WITH e AS (SELECT DISTINCT entry_id, document_id, reviewed_at, action FROM review_history)
+SELECT entry_id, document_id, action, (row_number() OVER (PARTITION BY document_id ORDER BY reviewed_at DESC NULLS LAST, entry_id DESC))::INTEGER AS place FROM e QUALIFY place <= 5""")
+def review_history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.history(read_table(spark, sf_dir, "review_history")).select("entry_id", "document_id", "action", "place")
+
+
+@query(f"""WITH {_REG}, d AS (SELECT document_id, arg_max(action, (reviewed_at, entry_id)) AS action FROM review_history GROUP BY document_id)
+SELECT r.document_id, coalesce(d.action, r.review_status) AS review_status FROM reg r LEFT JOIN d USING (document_id)""")
+def review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = read_table(spark, sf_dir, "review_history").groupBy("document_id").agg(F.max_by("action", F.struct("reviewed_at", "entry_id")).alias("review_status"))
+    return review.apply_changes(_registry(spark, sf_dir), last, ["review_status"]).select("document_id", "review_status")
+
+
+@query(f"""WITH {_REG}, c AS (SELECT document_id, CASE WHEN document_type = 'CHEQUE' THEN 'UNKNOWN' ELSE document_type END AS t FROM reg)
+SELECT reg.document_id, c.t AS document_type, CASE WHEN c.t = reg.document_type THEN reg.quality_status END AS quality_status FROM reg JOIN c USING (document_id)""")
+def type_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = _registry(spark, sf_dir)
+    change = reg.select("document_id", F.when(F.col("document_type") == "CHEQUE", "UNKNOWN").otherwise(F.col("document_type")).alias("document_type"))
+    return review.correct_type(reg, change, ["quality_status"]).select("document_id", "document_type", "quality_status")
+
+
+@query("SELECT strftime(created_at, '%Y-%m-%d') AS day, action, count(*) AS n FROM (SELECT DISTINCT audit_id, created_at, action FROM audit_logs) GROUP BY 1, 2")
+def audit_activity_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "audit_logs").select("audit_id", "created_at", "action").distinct()
+    return rows.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day"), "action").agg(F.count("*").alias("n"))
+
+
+@query("SELECT audit_id, json_extract_string(metadata, '$.documentType') AS document_type, json_extract_string(metadata, '$.oldType') AS old_type, json_extract_string(metadata, '$.newType') AS new_type, "
+       "json_extract_string(metadata, '$.matchedDocumentId') AS matched_id FROM (SELECT DISTINCT audit_id, metadata FROM audit_logs WHERE length(trim(metadata)) > 0)")
+def audit_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "audit_logs").where(F.length(F.trim("metadata")) > 0).select("audit_id", "metadata").distinct()
+    get = lambda k: F.get_json_object("metadata", f"$.{k}")
+    return rows.select("audit_id", get("documentType").alias("document_type"), get("oldType").alias("old_type"), get("newType").alias("new_type"), get("matchedDocumentId").alias("matched_id"))
+
+
+# --- slips, payloads, pictures --------------------------------------------------------------------------------------------
+
+
+@query()
+def slip_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine fields of every OCR text."""
+    rows = read_table(spark, sf_dir, "slip_reads").select("read_id", "raw_ocr_text").distinct()
+    out = slips.extract_fields(rows, "raw_ocr_text")
+    return out.select("read_id", *[F.concat_ws("|", F.col(f)["value"], F.col(f)["confidence"], F.col(f)["source"]).alias(f) for f in slips.FIELDS], "n_fields", "level")
+
+
+def _generated(spark: SparkSession, sf_dir: str, kinds: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
+    rows = read_table(spark, sf_dir, "orders").join(read_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select("o_orderkey", kinds(F.col("c_name"), F.col("o_totalprice"), F.col("o_orderdate"), F.col("o_orderkey")).alias("t"), "c_name", "o_totalprice", "o_orderdate")
+
+
+_EXPECTED = """SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS amount_text, replace(c_name, '#', '') AS receiver, strftime(o_orderdate, '%d/%m/%Y %H:%M:%S') AS date_time,
+lpad(o_orderkey::VARCHAR, 12, '0') || 'BTF' || lpad((o_orderkey % 100000)::VARCHAR, 5, '0') AS reference, 'KBANK' AS sender_bank, 'SCB' AS receiver_bank FROM orders JOIN customer ON o_custkey = c_custkey"""
+
+
+@query(_EXPECTED)
+def slip_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slips printed from orders come back as the values they were printed from."""
+    slip = lambda name, price, date, key: F.concat_ws(
+        "\n", F.concat(F.lit("To: "), name), F.lit("SCB"), F.lit("-"), F.lit("From: Anna Kell"), F.lit("KBANK"), F.concat(F.lit("Amount: "), F.format_number(price, 2)),
+        F.date_format(date, "dd/MM/yyyy HH:mm:ss"), F.concat(F.lit("Reference: "), F.lpad(key.cast("string"), 12, "0"), F.lit("BTF"), F.lpad((key % 100000).cast("string"), 5, "0")),
+    )
+    out = slips.extract_fields(_generated(spark, sf_dir, slip), "t")
+    v = lambda f: F.col(f)["value"]
+    return out.select(
+        "o_orderkey", F.format_number(v("amount").cast("double"), 2).alias("amount_text"), v("receiver_name").alias("receiver"), v("date_time").alias("date_time"), v("transaction_reference").alias("reference"),
+        v("sender_bank").alias("sender_bank"), v("receiver_bank").alias("receiver_bank"),
+    )
+
+
+def _tlv(tag: str, value: Column) -> Column:
+    return F.concat(F.lit(tag), F.lpad(F.length(value).cast("string"), 2, "0"), value)
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read_table(spark, sf_dir, "part")
+    account = F.concat(_tlv("00", F.lit(qr.BILL_PAYMENT_AID)), _tlv("01", F.lpad(F.col("p_size").cast("string"), 13, "0")), _tlv("02", F.col("p_partkey").cast("string")))
+    body = F.concat(
+        _tlv("00", F.lit("01")), _tlv("01", F.lit("12")), _tlv("30", account), _tlv("53", F.lit("764")), _tlv("54", F.format_string("%.2f", F.col("p_retailprice"))), _tlv("58", F.lit("TH")),
+        _tlv("59", F.substring("p_name", 1, 20)), F.lit("6304"),
+    )
+    return part.select("p_partkey", F.concat(body, F.when(F.col("p_partkey") % 10 == 0, "0000").otherwise(qr.crc16(F.concat(body, F.lit("0000"))))).alias("payload"))
+
+
+@query("""SELECT p_partkey, 'THAI_QR_PAYMENT' AS format, 'BILL_PAYMENT' AS subtype, printf('%.2f', p_retailprice) AS amount, lpad(p_size::VARCHAR, 13, '0') AS target,
+p_partkey::VARCHAR AS reference1, left(p_name, 20) AS merchant_name, p_partkey % 10 <> 0 AS consistent FROM part""")
+def payment_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads made from parts come back as the values they were made from; every tenth has a wrong checksum."""
+    out = qr.payment_fields(_payloads(spark, sf_dir), "payload")
+    return out.select("p_partkey", *[F.col(f"qr_{c}").alias(c) for c in ("format", "subtype", "amount", "target", "reference1", "merchant_name", "consistent")])
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(t, '^(?i)https?://') THEN 'GENERIC_URL' WHEN regexp_full_match(t, '[\\x20-\\x7E\\r\\n\\t]+') THEN 'PLAIN_TEXT' ELSE 'UNKNOWN_FORMAT' END AS format
+FROM (SELECT doc_id, trim(text, chr(32) || chr(10) || chr(13) || chr(9)) AS t FROM documents WHERE text IS NOT NULL AND text = trim(text) AND length(text) < 4000)""")
+def payload_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a decoded text is; texts longer than any code can hold are not decoded texts."""
+    rows = read_table(spark, sf_dir, "documents").where("text IS NOT NULL AND text = trim(text) AND length(text) < 4000")
+    return qr.payment_fields(rows.select("doc_id", "text"), "text").select("doc_id", F.col("qr_format").alias("format"))
+
+
+_PIXELS = "list_transform(embedding, lambda x: greatest(0, least(255, floor(x * 64 + 128)))::INTEGER)"
+
+
+def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grey = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x * 64 + 128))).cast("int"))
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", grey.alias("px"))
+
+
+@query(f"""WITH p AS (SELECT vec_id, px || px[1:8] AS g FROM (SELECT vec_id, {_PIXELS} AS px FROM embeddings))
+SELECT vec_id, list_aggregate(list_transform(range(16), lambda n: substr('0123456789abcdef', 1 + list_sum(list_transform(range(4), lambda k: CASE WHEN g[1 + ((n * 4 + k) // 8) * 9 + (n * 4 + k) % 8] > g[2 + ((n * 4 + k) // 8) * 9 + (n * 4 + k) % 8] THEN [8, 4, 2, 1][k + 1] ELSE 0 END))::INTEGER, 1)), 'string_agg', '') AS dhash FROM p""")
+def dhash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pixels(spark, sf_dir).select("vec_id", hashing.dhash(F.concat("px", F.slice("px", 1, 8))).alias("dhash"))
+
+
+@query(f"""WITH p AS (SELECT vec_id, {_PIXELS} AS px FROM embeddings), m AS (SELECT vec_id, round(list_avg(px), 2)::DOUBLE AS lum, px FROM p)
+SELECT vec_id, lum AS luminance, CASE WHEN lum < 45 THEN 'TOO_DARK' WHEN lum > 225 THEN 'TOO_BRIGHT' ELSE '' END AS warning FROM m""")
+def quality_luminance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lum = quality.mean_luminance(F.col("px"))
+    rows = _pixels(spark, sf_dir).withColumn("luminance", lum)
+    checked = quality.assess(F.lit(1000), F.lit(1000), F.lit(100.0), F.col("luminance"))
+    return rows.select("vec_id", "luminance", F.array_join(checked["warnings"], ";").alias("warning"))
+
+
+@query()
+def quality_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pixels(spark, sf_dir).select("vec_id", quality.sharpness("px", F.lit(8)).alias("sharpness"), quality.text_like_parts("px", F.lit(8)).alias("parts"))
+
+
+# --- time ---------------------------------------------------------------------------------------------------------------
+
 
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = read_table(spark, sf_dir, "slip_reads").withColumn("printed", F.col("date_time.value"))
     return timestamps.normalise_times(reads, "read_id", "user_id", "printed", "device_zone", "device_locale", "arrived_at")
 
 
+@query()
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _times(spark, sf_dir).where(F.col("zone_from") != "ESTIMATED").select("read_id", "instant_us")
 
 
+@query()
 def p3_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every readable time, those with an estimated zone included."""
     return _times(spark, sf_dir)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_found(spark, sf_dir)
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_instants)}
-
-SQL: dict[str, str] = {}
+    return duplicate_decision(spark, sf_dir)
