@@ -196,46 +196,80 @@ FEATURES = 27
 #: Lines whose candidates are kept: slips repeat most of theirs.
 KEPT_LINES = 60_000
 _MAIL_SIGN = re.compile("[@＠]|[(\\[]\\s?at\\s?[)\\]]|\\sat\\s", re.I)
+_DIGIT = re.compile("\\d")
 _SOME_DIGITS = re.compile("\\d[^\\d]{0,3}\\d(?:[^\\d]{0,3}\\d){5}")
 _ADDRESS_SIGN = re.compile(rf"หมู่|ม\.|ซ\.|ซอย|ถ\.|ถนน|ต\.|แขวง|ปณ|moo\b|soi\b|tambon|box|unit|flat|apt|suite|room|\b{_STREET}\b|\d,\s+\d{{5}}\b", re.I)
 
 
 def candidates(text: str, model: NameModel) -> list[tuple[int, int, int, list[float]]]:
-    """(kind, start, end, features) of every proposed span. Features look no further than the line and the one above."""
+    """(kind, start, end, features) of every proposed span. Features look no further than the line and the one above.
+
+    Only numbers depend on which digits a line has; everything else is kept by the line with its digits made equal.
+    """
     out: list[tuple[int, int, int, list[float]]] = []
     kept, at, above = model.lines, 0, 0
     for line in text.split("\n"):
         if line:
-            known = kept.get((line, above))
+            key = (_DIGIT.sub("0", line), above)
+            known = kept.get(key)
             if known is None:
                 if len(kept) >= KEPT_LINES:
                     kept.clear()
-                known = (_line_candidates(line, above, model), _announces(line))
+                known = (*_line_candidates(key[0], above, model), _announces(line), bool(_SOME_DIGITS.search(line)))
                 if len(line) <= 200:
-                    kept[(line, above)] = known
+                    kept[key] = known
             for kind, a, b, f in known[0]:
                 out.append((kind, at + a, at + b, f))
-            above = known[1]
+            if known[3]:
+                for kind, a, b, f in _numbers(line, above, known[1]):
+                    out.append((kind, at + a, at + b, f))
+            above = known[2]
         else:
             above = 0
         at += len(line) + 1
     return out
 
 
-def _line_candidates(text: str, above: int, model: NameModel) -> list[tuple[int, int, int, list[float]]]:
-    out: list[tuple[int, int, int, list[float]]] = []
-    mails: list[tuple[int, int]] = []
+def _features(text: str, above: int, kind: int, a: int, b: int, own: tuple) -> list[float]:
+    word, far = _before(text, a, above)
     size = len(text)
+    after_word = _PREVIOUS_WORD.match(text, b + 1)
+    next_class = CLASS_OF.get(after_word.group().casefold(), 0) if after_word else 0
+    span = text[a:b]
+    digits = sum(map(str.isdigit, span)) if kind != 4 else 0
+    f = [kind, b - a, digits, word, far, _char(text[a - 1]) if a else 1, _char(text[b]) if b < size else 1, next_class, a, size - b, float(a == 0), span.count(" "), *own]
+    return f + [0.0] * (FEATURES - len(f))
+
+
+def _numbers(text: str, above: int, mails: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, list[float]]]:
+    """Candidates for phone and identity numbers."""
+    for m in NUMBER.finditer(text):
+        a, b = m.span()
+        if b - a < 8 or any(x <= a < y for x, y in mails):
+            continue
+        if text[a] == "(" and ")" not in text[a : a + 6]:
+            a += 1
+        raw = text[a:b]
+        digits = "".join(str(int(c)) for c in raw if c.isdigit())
+        if not 8 <= len(digits) <= 15:
+            continue
+        groups = re.findall(r"\d+", raw)
+        shape = (
+            len(digits), len(groups), len(groups[0]), len(groups[-1]), float(raw[0] == "+"), float(digits.startswith("00")), float(digits[0] == "0"), float(raw[0] == "("), _citizen(digits), int(digits[0]),
+            float(raw.count(".")), float(raw.count("-")), float(a > 0 and text[a - 1] in "-./:,"), max(len(g) for g in groups), float(text[b : b + 1].isalpha()),
+        )
+        f = _features(text, above, 1, a, b, shape)
+        yield 1, a, b, f
+        if len(digits) == 13:
+            yield 2, a, b, [2, *f[1:]]
 
-    def add(kind: int, a: int, b: int, *own: float) -> None:
-        word, far = _before(text, a, above)
-        span = text[a:b]
-        after_word = _PREVIOUS_WORD.match(text, b + 1)
-        next_class = CLASS_OF.get(after_word.group().casefold(), 0) if after_word else 0
-        digits = sum(map(str.isdigit, span)) if kind != 4 else 0
-        f = [kind, b - a, digits, word, far, _char(text[a - 1]) if a else 1, _char(text[b : b + 1]) if b < size else 1, next_class, a, size - b, float(a == 0), span.count(" "), *own]
-        out.append((kind, a, b, f + [0.0] * (FEATURES - len(f))))
 
+def _line_candidates(text: str, above: int, model: NameModel) -> tuple[list[tuple[int, int, int, list[float]]], list[tuple[int, int]]]:
+    """Candidates of a line that do not depend on its digits, and the places of its mail addresses."""
+    out: list[tuple[int, int, int, list[float]]] = []
+    mails: list[tuple[int, int]] = []
+    size = len(text)
+    add = lambda kind, a, b, *own: out.append((kind, a, b, _features(text, above, kind, a, b, own)))
     if _MAIL_SIGN.search(text):
         for m in EMAIL.finditer(text):
             mails.append(m.span())
@@ -253,24 +287,6 @@ def _line_candidates(text: str, above: int, model: NameModel) -> list[tuple[int,
             span = text[a:b]
             add(3, a, b, len(ADDRESS_WORD.findall(span)), float(bool(re.search(r"\d{5}\s*$|\d{5}\b", span))), float(span[0].isdigit()), float(span[:1].isupper()), float("/" in span[:8]))
     if _SOME_DIGITS.search(text):
-        for m in NUMBER.finditer(text):
-            a, b = m.span()
-            if b - a < 8 or hidden(a):
-                continue
-            if text[a] == "(" and ")" not in text[a : a + 6]:
-                a += 1
-            raw = text[a:b]
-            digits = "".join(str(int(c)) for c in raw if c.isdigit())
-            if not 8 <= len(digits) <= 15:
-                continue
-            groups = re.findall(r"\d+", raw)
-            shape = (
-                len(digits), len(groups), len(groups[0]), len(groups[-1]), float(raw[0] == "+"), float(digits.startswith("00")), float(digits[0] == "0"), float(raw[0] == "("), _citizen(digits), int(digits[0]),
-                float(raw.count(".")), float(raw.count("-")), float(a > 0 and text[a - 1] in "-./:,"), max(len(g) for g in groups), float(text[b : b + 1].isalpha()),
-            )
-            add(1, a, b, *shape)
-            if len(digits) == 13:
-                add(2, a, b, *shape)
         for m in PASSPORT.finditer(text):
             if not hidden(m.start()):
                 add(2, *m.span(), sum(c.isdigit() for c in m.group()), 1, 0, 0, 0, 0, 0, 0, 0, 10)
@@ -285,7 +301,7 @@ def _line_candidates(text: str, above: int, model: NameModel) -> list[tuple[int,
             4, a, b, title, n, latin / max(len(tokens), 1), float(span.isupper()), float("฀" <= span[0] <= "๿"), org, other, float(bool(ORG_WORDS.search(text, a, b + 14))),
             max(map(len, tokens), default=0), min(map(len, tokens), default=0), float("," in span), float(b - a > 2 and span.endswith(".")), float(span.islower()),
         )
-    return out
+    return out, mails
 
 
 class Finder:
