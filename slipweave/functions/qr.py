@@ -83,7 +83,7 @@ def crc16(text: Column) -> Column:
         at = F.shiftright(crc, 8).bitwiseXOR(F.ascii(ch)).bitwiseAND(F.lit(0xFF))
         return F.shiftleft(crc, 8).bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(F.get(table, at))
 
-    return F.lpad(F.hex(F.aggregate(F.split(text, ""), F.lit(CRC_INIT), byte)), 4, "0")
+    return F.lpad(F.hex(F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(CRC_INIT), byte)), 4, "0")
 
 
 def crc_state(payload: Column, value: Column) -> Column:

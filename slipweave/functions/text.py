@@ -87,7 +87,7 @@ def amount_search_key(c: Column) -> Column:
     """Two decimals for a number (digits and dots that read as one), else the trimmed lower-case text."""
     kept = F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9.]", "")
     number = F.when(kept.rlike("^(\\d+\\.?\\d*|\\.\\d+)\\z"), kept.try_cast("double"))
-    return F.coalesce(F.format_string("%.2f", number), F.lower(trim(F.coalesce(c, F.lit("")))))
+    return F.coalesce(F.when(number.isNotNull(), F.format_string("%.2f", number)), F.lower(trim(F.coalesce(c, F.lit("")))))
 
 
 def values_match(a: Column, b: Column) -> Column:
