@@ -144,7 +144,10 @@ class VectorIndex:
         spark = index.sparkSession
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         both = left.unionByName(right).repartition(n, "user_id", "part").sortWithinPartitions("is_query")
-        return both.mapInArrow(_search, "user_id string, vec_q long, vec_x long, distance int")
+        # Parts of one owner that meet in a task stay apart by their key.
+        keyed = both.select(F.concat_ws("|", "part", "user_id").alias("user_id"), "vec", "is_query")
+        found = keyed.mapInArrow(_search, "user_id string, vec_q long, vec_x long, distance int")
+        return found.withColumn("user_id", F.regexp_replace("user_id", "^\\d+\\|", ""))
 
 
 def near_records(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

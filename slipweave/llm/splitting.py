@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slipweave.llm.tokenizer import VOCABULARY, Transducer, pre_tokens, transducer
+from slipweave.llm.tokenizer import VOCABULARY, Transducer, in_parts, transducer
 
 # What ends a sentence or a clause.
 SENTENCE_END, CLAUSE_END = ".!?。！？…", ",;:、，；："
@@ -64,7 +64,7 @@ class _Described(dict):
 
     def __missing__(self, word: str) -> int:
         out = _describe(self.t, word)
-        if len(word) <= KEPT_LENGTH:
+        if len(word) <= KEPT_LENGTH and word not in self.t.numbers:
             if len(self) > KEPT_WORDS:
                 self.clear()
                 self.places.clear()
@@ -75,9 +75,9 @@ class _Described(dict):
 class Layout:
     """Where a text may be cut: characters, tokens before and strength of each place, ends included."""
 
-    def __init__(self, t: Transducer, known: _Described, text: str, long_word: int):
+    def __init__(self, t: Transducer, known: _Described, words: list[str], long_word: int):
         """Words of more than long_word tokens may be cut inside; shorter ones fit beside another word in any piece."""
-        self.t, self.known, self.words, self.long_word = t, known, pre_tokens(text), long_word
+        self.t, self.known, self.words, self.long_word = t, known, words, long_word
         packed = np.fromiter(map(known.__getitem__, self.words), np.int64, len(self.words))
         tokens, chars = packed >> 32, packed >> 8 & 0xFFFFFF
         start, end = packed >> 4 & 15, packed & 15
@@ -173,11 +173,11 @@ class Layout:
         return len(words[a]) + len(words[b]) - len(words[a + b])
 
 
-def pieces(t: Transducer, known: _Described, text: str, limits: list[tuple[int, int, int]]) -> Iterator[tuple]:
-    """(limit_id, piece_no, start_char, new_from, end_char, n_tokens) of a text for each limit it exceeds."""
-    if not limits or len(text) <= min(m for _, m, _ in limits) // 4:
+def pieces(t: Transducer, known: _Described, words: list[str], size: int, limits: list[tuple[int, int, int]]) -> Iterator[tuple]:
+    """(limit_id, piece_no, start_char, new_from, end_char, n_tokens) of a text of these words for each limit it exceeds."""
+    if not limits or size <= min(m for _, m, _ in limits) // 4:
         return
-    lay = Layout(t, known, text, max(1, min(m - min(o, m // 2) for _, m, o in limits) // 3))
+    lay = Layout(t, known, words, max(1, min(m - min(o, m // 2) for _, m, o in limits) // 3))
     for limit_id, most, overlap in limits:
         if lay.total <= most:
             continue
@@ -187,7 +187,7 @@ def pieces(t: Transducer, known: _Described, text: str, limits: list[tuple[int,
             room = most - (lay.before[hi] - lay.before[lo])
             start, tokens = lay.back(lo, overlap, room) if i else (0, 0)
             end = lay.at[hi]
-            n = lay.before[hi] - tokens - (lay.shorter_at_end(end) if end < len(text) else 0)
+            n = lay.before[hi] - tokens - (lay.shorter_at_end(end) if end < size else 0)
             yield limit_id, i, start, lay.at[lo], end, n
 
 
@@ -213,8 +213,10 @@ def split(texts: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY) ->
         for b in batches:
             out: list[tuple] = []
             size = 0
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for p in pieces(t, known, text, wanted) if text else ():
+            docs, values = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            all_words = (words for part in in_parts(t, values) for words in part)
+            for doc, text, words in zip(docs, values, all_words, strict=True):
+                for p in pieces(t, known, words, len(text), wanted) if text else ():
                     out.append((doc, *p, text[p[2] : p[4]]))
                     size += p[4] - p[2]
                 if size > 4_000_000:

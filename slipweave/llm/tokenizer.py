@@ -34,6 +34,8 @@ _FAST = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+
 _EXACT = regex.compile(PATTERN)
 #: Pre-tokens kept, and the longest of them in characters; states kept.
 TABLE_WORDS, TABLE_LENGTH, MAX_STATES = 200_000, 48, 200_000
+#: Characters of the texts prepared for together.
+PART_CHARS = 2_000_000
 #: Bytes read between two emissions.
 BLOCK = 4096
 #: Transitions met before one is made.
@@ -100,6 +102,8 @@ class Transducer:
         self.misses = 0
         self._reset()
         self.words: dict[str, tuple[int, ...]] = _Words(self)
+        self.numbers: dict[str, tuple[int, ...]] = {}
+        self.coder = NumberCoder(self)
 
     def _reset(self) -> None:
         self.states: list[tuple[int, tuple[int, ...]]] = [(0, (START,))]
@@ -239,6 +243,12 @@ class Transducer:
             del lasts[:end]
             yield piece
 
+    def meet(self, words: Iterable[list[str]]) -> None:
+        """Prepare for these pre-tokens: numbers not met before are encoded together, and kept until the next call."""
+        self.numbers = {}
+        table = self.words
+        self.numbers = self.coder.encode([w for w in set(chain.from_iterable(words)) if w not in table and w[-1].isdigit()])
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text without special tokens; null and empty texts give no ids."""
         return list(chain.from_iterable(map(self.words.__getitem__, pre_tokens(text)))) if text else []
@@ -250,6 +260,103 @@ class Transducer:
         return "".join(decode_stream(self.by_id, ids))
 
 
+class NumberCoder:
+    """The same transducer, run side by side over many numbers.
+
+    Numbers make up most of the pre-tokens that are met only once. Their prefixes are read position by position for
+    all of them at a time; a table answers which token ends at a place, a matrix which tokens stay apart. Numbers that
+    hold a token of more than LONGEST symbols are left to the transducer itself.
+    """
+
+    LONGEST, BASE = 4, 11
+    SHAPE = re.compile(r" ?[0-9]{3,24}\Z")
+
+    def __init__(self, t: Transducer):
+        self.t = t
+        own = [i for i, b in enumerate(t.spell) if b == b" " or re.fullmatch(rb" ?[0-9]+", b)]
+        long = [t.spell[i].decode() for i in own if len(t.spell[i]) > self.LONGEST]
+        self.skip = re.compile("|".join(sorted(map(re.escape, long), key=len, reverse=True))) if long else None
+        self.own = np.array([i for i in own if len(t.spell[i]) <= self.LONGEST])
+        self.size = np.array([len(t.spell[i]) for i in self.own])
+        self.public = np.array([t.public[i] for i in self.own])
+        self.at = [np.full(self.BASE**k, -1, np.int32) for k in range(self.LONGEST + 1)]
+        for j, i in enumerate(self.own):
+            code = 0
+            for byte in t.spell[i]:
+                code = code * self.BASE + self._symbol(byte)
+            self.at[len(t.spell[i])][code] = j
+        # Rows are the token before (the last row: none), columns the token after; -1 is not known yet.
+        self.apart = np.full((len(own) + 1, len(self.own)), -1, np.int8)
+        self.start = len(own)
+        self.apart[self.start] = 1
+        self.keys = np.array(sorted(t.merged))
+        self.ranks = np.array([t.merged[k] for k in self.keys])
+        self.left, self.right = np.array(t.left), np.array(t.right)
+
+    @staticmethod
+    def _symbol(byte: int) -> int:
+        return 10 if byte == 32 else byte - 48
+
+    def _stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Transducer.stay_apart for arrays of tokens."""
+        x, y = a.copy(), b.copy()
+        before, known, open_ = np.full(len(x), len(self.left)), np.ones(len(x), bool), np.arange(len(x))
+        while len(open_):
+            key = x[open_] << 20 | y[open_]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            due = (self.keys[place] == key) & (self.ranks[place] < before[open_])
+            known[open_[due]] = False
+            open_ = open_[~due]
+            left, right = self.left[x[open_]], self.left[y[open_]]
+            more = (left >= 0) | (right >= 0)
+            open_, left, right = open_[more], left[more], right[more]
+            undo_x = (right < 0) | ((left >= 0) & (x[open_] > y[open_]))
+            i, j = open_[undo_x], open_[~undo_x]
+            before[i], before[j] = x[i], y[j] + 1
+            x[i], y[j] = self.right[x[i]], right[~undo_x]
+        return known
+
+    def encode(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Public ids of the numbers among the words."""
+        by_size: dict[int, list[str]] = {}
+        for w in words:
+            if self.SHAPE.match(w) and not (self.skip and self.skip.search(w)):
+                by_size.setdefault(len(w), []).append(w)
+        out: dict[str, tuple[int, ...]] = {}
+        for n, same in by_size.items():
+            symbols = np.frombuffer("".join(same).encode(), np.uint8).reshape(len(same), n).astype(np.int64) - 48
+            symbols[symbols < 0] = 10
+            lasts = np.full((len(same), n + 1), self.start, np.int64)
+            for i in range(1, n + 1):
+                best, code, power = np.full(len(same), -1), np.zeros(len(same), np.int64), 1
+                options = []
+                for k in range(1, min(i, self.LONGEST) + 1):
+                    code = code + symbols[:, i - k] * power
+                    power *= self.BASE
+                    options.append(self.at[k][code])
+                for k in range(len(options), 0, -1):
+                    token = options[k - 1]
+                    rows = np.flatnonzero((token >= 0) & (best < 0))
+                    prior, this = lasts[rows, i - k], token[rows]
+                    fits = self.apart[prior, this]
+                    if (fits < 0).any():
+                        pairs = np.unique(prior[fits < 0] * len(self.own) + this[fits < 0])
+                        p, q = np.divmod(pairs, len(self.own))
+                        self.apart[p, q] = self._stay_apart(self.own[p], self.own[q])
+                        fits = self.apart[prior, this]
+                    best[rows[fits > 0]] = this[fits > 0]
+                lasts[:, i] = best
+            place, every, back = np.full(len(same), n), np.arange(len(same)), []
+            while (place > 0).any():
+                token = lasts[every, place]
+                ended = place <= 0
+                back.append(np.where(ended, -1, self.public[np.where(ended, 0, token)]))
+                place = np.where(ended, 0, place - self.size[np.where(ended, 0, token)])
+            for w, ids in zip(same, np.stack(back[::-1], 1).tolist(), strict=True):
+                out[w] = tuple(x for x in ids if x >= 0)
+        return out
+
+
 class _Words(dict):
     """Ids of pre-tokens met before; emptied when it holds too many."""
 
@@ -258,6 +365,9 @@ class _Words(dict):
         self.owner = owner
 
     def __missing__(self, word: str) -> tuple[int, ...]:
+        out = self.owner.numbers.get(word)
+        if out is not None:
+            return out
         data = word.encode("utf-8", "replace")
         if len(self.owner.states) > MAX_STATES:
             self.owner._reset()
@@ -312,15 +422,33 @@ def _batches(of: Callable[[Transducer, list[str | None]], pa.Array], name: str,
     return run
 
 
+def in_parts(t: Transducer, texts: list[str | None]) -> Iterator[list[list[str]]]:
+    """Pre-tokens of the texts, some texts at a time, prepared for."""
+    begin = 0
+    while begin < len(texts):
+        part, size = [], 0
+        while begin < len(texts) and size < PART_CHARS:
+            text = texts[begin]
+            part.append(pre_tokens(text) if text else [])
+            size += len(text or "") + 1
+            begin += 1
+        t.meet(part)
+        yield part
+
+
 def _ids(t: Transducer, texts: list[str | None]) -> pa.Array:
-    parts = [np.fromiter(chain.from_iterable(map(t.words.__getitem__, pre_tokens(x))), np.int32) if x else np.empty(0, np.int32) for x in texts]
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
+    flat, sizes = [], []
+    for part in in_parts(t, texts):
+        for words in part:
+            flat.append(np.fromiter(chain.from_iterable(map(t.words.__getitem__, words)), np.int32))
+            sizes.append(len(flat[-1]))
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)))
 
 
 def _counts(t: Transducer, texts: list[str | None]) -> pa.Array:
-    return pa.array([t.count(x) for x in texts], pa.int64())
+    return pa.array([sum(map(len, map(t.words.__getitem__, words))) for part in in_parts(t, texts) for words in part], pa.int64())
 
 
 def _apply(df: DataFrame, text: str, out: str, kind: str, of: Callable, vocabulary: str) -> DataFrame:
