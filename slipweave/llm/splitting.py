@@ -29,11 +29,16 @@ KEPT_WORDS, KEPT_LENGTH = 200_000, 48
 
 def _describe(t: Transducer, word: str) -> int:
     """Tokens, characters and the classes of both ends of a pre-token, packed."""
-    n = len(t.words[word])
-    start = 2 if word[0] in "\r\n" else 1 if word[0].isspace() else 0
-    breaks = word.replace("\r\n", "\n").count("\n") + word.replace("\r\n", "").count("\r")
-    last = word[-1]
-    end = 5 if breaks > 1 else 4 if breaks else 3 if last in SENTENCE_END else 2 if last in CLAUSE_END else 1 if last.isspace() else 0
+    n, last = len(t.words[word]), word[-1]
+    start = 1 if word[0] == " " else 0
+    if last.isalnum():
+        end = 0
+    elif word.isspace():
+        start = 2 if word[0] in "\r\n" else 1
+        breaks = word.replace("\r\n", "\n").count("\n") + word.replace("\r\n", "").count("\r")
+        end = 5 if breaks > 1 else 4 if breaks else 1
+    else:
+        end = 3 if last in SENTENCE_END else 2 if last in CLAUSE_END else 0
     return n << 32 | len(word) << 8 | start << 4 | end
 
 
@@ -63,8 +68,11 @@ class _Described(dict):
         self.places: dict[str, list[tuple[int, int]]] = {}
 
     def __missing__(self, word: str) -> int:
+        ids = self.t.numbers.get(word)
+        if ids is not None and word[-1].isalnum():
+            return len(ids) << 32 | len(word) << 8 | (word[0] == " ") << 4
         out = _describe(self.t, word)
-        if len(word) <= KEPT_LENGTH and word not in self.t.numbers:
+        if len(word) <= KEPT_LENGTH:
             if len(self) > KEPT_WORDS:
                 self.clear()
                 self.places.clear()

@@ -376,6 +376,10 @@ class _Words(dict):
             if len(self) >= TABLE_WORDS:
                 self.clear()
             self[word] = out
+        else:  # asked for again within a text, hardly after it
+            if len(self.owner.numbers) >= TABLE_WORDS:
+                self.owner.numbers.clear()
+            self.owner.numbers[word] = out
         return out
 
 
