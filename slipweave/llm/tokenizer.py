@@ -269,13 +269,14 @@ class NumberCoder:
     """
 
     LONGEST, BASE = 4, 11
-    SHAPE = re.compile(r" ?[0-9]{3,24}\Z")
-
     def __init__(self, t: Transducer):
         self.t = t
         own = [i for i, b in enumerate(t.spell) if b == b" " or re.fullmatch(rb" ?[0-9]+", b)]
         long = [t.spell[i].decode() for i in own if len(t.spell[i]) > self.LONGEST]
-        self.skip = re.compile("|".join(sorted(map(re.escape, long), key=len, reverse=True))) if long else None
+        # Long tokens with a blank can only begin a number; of the others those count that hold no other.
+        self.skip_start = {x[: self.LONGEST + 1] for x in long if x[0] == " "}
+        inner = [x for x in long if x[0] != " "]
+        self.skip_inside = [x for x in inner if not any(y != x and y in x for y in inner)]
         self.own = np.array([i for i in own if len(t.spell[i]) <= self.LONGEST])
         self.size = np.array([len(t.spell[i]) for i in self.own])
         self.public = np.array([t.public[i] for i in self.own])
@@ -320,7 +321,9 @@ class NumberCoder:
         """Public ids of the numbers among the words."""
         by_size: dict[int, list[str]] = {}
         for w in words:
-            if self.SHAPE.match(w) and not (self.skip and self.skip.search(w)):
+            bare = w[1:] if w[0] == " " else w
+            plain = 3 <= len(bare) <= 24 and bare.isascii() and bare.isdigit()
+            if plain and w[: self.LONGEST + 1] not in self.skip_start and not any(x in w for x in self.skip_inside):
                 by_size.setdefault(len(w), []).append(w)
         out: dict[str, tuple[int, ...]] = {}
         for n, same in by_size.items():
