@@ -38,6 +38,10 @@ def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.latest_versions(read_table(spark, sf_dir, "slip_reads").dropDuplicates(["read_id"]).withColumn("_at", F.col("read_at")), by="_at").drop("_at")
 
 
+# White space of the web platform in SQL.
+_WS = "[\\s\\x0b\\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]"
+_JS_TRIM = f"regexp_replace({{0}}, '^{_WS}+|{_WS}+$', '', 'g')"
+
 # The same registry in SQL: the version updated last; rows of one time differ in nothing but the match.
 _REG = """
 reg AS (SELECT * FROM document_records WHERE document_id IS NOT NULL
@@ -190,7 +194,6 @@ def matched_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _READS = """reads AS (SELECT * FROM slip_reads WHERE document_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY read_at DESC, read_id DESC) = 1)"""
-_BASIC = "regexp_replace(trim(lower({0})), '\\s+', ' ', 'g')"
 
 
 def _search(spark: SparkSession, sf_dir: str, words: str) -> DataFrame:
@@ -220,13 +223,13 @@ def amount_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REFS = "regexp_extract({0}, '^([0-9OIl]{{9,20}})([A-Za-z]{{3,5}}?)([0-9OIl]{{4,}})$', {1})"
 
 
-@query("WITH r AS (SELECT DISTINCT read_id, transaction_reference.value AS v FROM slip_reads WHERE regexp_full_match(transaction_reference.value, '[0-9A-Za-z-]+')), "
+@query(f"WITH r AS (SELECT DISTINCT read_id, {_JS_TRIM.format('transaction_reference.value')} AS v FROM slip_reads WHERE transaction_reference.value IS NOT NULL), "
        f"p AS (SELECT read_id, v, regexp_matches(v, '^[0-9OIl]{{9,20}}[A-Za-z]{{3,5}}?[0-9OIl]{{4,}}$') AS bank, translate(upper({_REFS.format('v', 1)}), 'OIL', '011') AS a, "
        f"upper({_REFS.format('v', 2)}) AS b, translate(upper({_REFS.format('v', 3)}), 'OIL', '011') AS c FROM r) SELECT read_id, CASE WHEN bank THEN "
-       "(CASE WHEN length(ltrim(a, '0')) >= 8 THEN ltrim(a, '0') ELSE right(a, greatest(8, length(ltrim(a, '0')))) END) || b || c ELSE lower(v) END AS reference_key FROM p")
+       f"(CASE WHEN length(ltrim(a, '0')) >= 8 THEN ltrim(a, '0') ELSE right(a, greatest(8, length(ltrim(a, '0')))) END) || b || c ELSE regexp_replace(lower(v), '{_WS.format()}+', ' ', 'g') END AS reference_key FROM p")
 def reference_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("transaction_reference")["value"]
-    rows = read_table(spark, sf_dir, "slip_reads").select("read_id", v.alias("v")).distinct().where(F.col("v").rlike("^[0-9A-Za-z-]+\\z"))
+    rows = read_table(spark, sf_dir, "slip_reads").select("read_id", v.alias("v")).distinct().where(F.col("v").isNotNull())
     return rows.select("read_id", text.reference_key(F.col("v")).alias("reference_key"))
 
 
@@ -363,11 +366,11 @@ def payment_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", *[F.col(f"qr_{c}").alias(c) for c in ("format", "subtype", "amount", "target", "reference1", "merchant_name", "consistent")])
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(t, '^(?i)https?://') THEN 'GENERIC_URL' WHEN regexp_full_match(t, '[\\x20-\\x7E\\r\\n\\t]+') THEN 'PLAIN_TEXT' ELSE 'UNKNOWN_FORMAT' END AS format
-FROM (SELECT doc_id, trim(text, chr(32) || chr(10) || chr(13) || chr(9)) AS t FROM documents WHERE text IS NOT NULL AND text = trim(text) AND length(text) < 4000)""")
+@query(f"""SELECT doc_id, CASE WHEN regexp_matches(t, '^(?i)https?://') THEN 'GENERIC_URL' WHEN regexp_full_match(t, '[\\x20-\\x7E\\r\\n\\t]+') THEN 'PLAIN_TEXT' ELSE 'UNKNOWN_FORMAT' END AS format
+FROM (SELECT doc_id, {_JS_TRIM.format('text')} AS t FROM documents WHERE text IS NOT NULL)""")
 def payload_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a decoded text is; texts longer than any code can hold are not decoded texts."""
-    rows = read_table(spark, sf_dir, "documents").where("text IS NOT NULL AND text = trim(text) AND length(text) < 4000")
+    """What each text would be as a decoded payload."""
+    rows = read_table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
     return qr.payment_fields(rows.select("doc_id", "text"), "text").select("doc_id", F.col("qr_format").alias("format"))
 
 
