@@ -189,3 +189,35 @@ def extract_fields(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     n = sum((F.col(prefix + f)["value"].isNotNull().cast("int") for f in FIELDS), F.lit(0))
     df = df.withColumn(prefix + "n_fields", n)
     return df.withColumn(prefix + "level", F.when(F.col(prefix + "n_fields") == 0, "NONE").when(F.col(prefix + "n_fields") >= 4, "EXTRACTED").otherwise("PARTIAL"))
+
+
+# What a field adds to the score of a reading, and the shortest text that is a reading.
+WEIGHTS = {
+    "amount": 4, "transaction_reference": 3, "date_time": 3, "receiver_name": 2, "sender_name": 2, "receiver_bank": 1, "sender_bank": 1, "receiver_account_tail": 1, "sender_account_tail": 1,
+}
+HIGH_BONUS, REFERENCE_BONUS, DATE_BONUS, GARBAGE_COST, LEAST_LENGTH = 0.5, 1.5, 3, 0.2, 10
+
+
+def reading_score(df: DataFrame, text: str, out: str = "score") -> DataFrame:
+    """Add the score of a reading whose fields are columns of df: populated fields, trust, a readable date, less garbage."""
+    score = F.lit(0.0)
+    for f, weight in WEIGHTS.items():
+        there = F.col(f)["value"].isNotNull() & (F.col(f)["confidence"] != "NONE")
+        score = score + F.when(there, weight + F.when(F.col(f)["confidence"] == "HIGH", HIGH_BONUS).otherwise(0.0)).otherwise(0.0)
+    bank_like = F.col("transaction_reference")["value"].rlike("(?i)^[0-9OIl]+[A-Za-z]{3}[A-Za-z0-9]+\\z")
+    score = score + F.when(bank_like, REFERENCE_BONUS).otherwise(0.0)
+    score = score + F.when(F.col(text).rlike(f"\\d{{1,2}}\\s*[{THAI}]\\s*\\.?\\s*[{THAI}]\\s*\\.?\\s*\\d{{2,4}}"), DATE_BONUS).otherwise(0.0)
+    garbage = F.length(F.regexp_replace(F.col(text), f"[\\w{WS}{THAI}.,:;!?@%&*()/฿-]", ""))
+    return df.withColumn(out, score - garbage * GARBAGE_COST)
+
+
+def best_reading(df: DataFrame, key: str, variants: str) -> DataFrame:
+    """(key, text, variant, score): the best of several readings of one picture; the earlier one of equals.
+
+    Readings of LEAST_LENGTH characters or fewer are dropped; a picture without a longer one has no row. Only the score
+    and the text travel to the comparison.
+    """
+    each = df.select(key, F.posexplode(variants).alias("variant", "text")).where(F.length("text") > LEAST_LENGTH)
+    scored = reading_score(extract_fields(each, "text"), "text").select(key, "variant", "text", "score")
+    best = scored.groupBy(key).agg(F.max(F.struct("score", (-F.col("variant")).alias("first"), "text")).alias("b"))
+    return best.select(key, F.col("b.text").alias("text"), (-F.col("b.first")).alias("variant"), F.col("b.score").alias("score"))

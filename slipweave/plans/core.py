@@ -263,6 +263,21 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.export_lines(full)
 
 
+@query(f"""WITH {_REG} SELECT document_id, concat_ws(',', CASE WHEN duplicate_decision_type = 'EXACT_DUPLICATE' OR duplicate_status = 'EXACT_DUPLICATE' THEN 'info'
+WHEN duplicate_decision_type = 'LIKELY_DUPLICATE_REVIEW' OR duplicate_status = 'LIKELY_DUPLICATE' THEN 'warning' WHEN duplicate_decision_type = 'SUPPRESSED_NEAR_DUPLICATE' THEN 'info,info' ELSE 'positive' END,
+CASE review_status WHEN 'PENDING' THEN 'warning' WHEN 'CONFIRMED_DUPLICATE' THEN 'info' WHEN 'CONFIRMED_DISTINCT' THEN 'positive' END, CASE WHEN quality_status IN ('WARN', 'FAIL') THEN 'warning' END) AS tones FROM reg""")
+def result_summary_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("duplicate_status", "duplicate_decision_type", "review_status", "quality_status", "duplicate_decision_reasons")
+    items = labels.result_summary(*map(F.col, names))
+    return _registry(spark, sf_dir).select("document_id", F.array_join(F.transform(items, lambda x: x["tone"]), ",").alias("tones"))
+
+
+@query(f"""WITH {_REG} SELECT document_type, count(*) FILTER (quality_status IS NULL) AS missing, count(*) AS total FROM reg GROUP BY document_type""")
+def quality_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records lack a check, by type: the dry run of a backfill."""
+    return _registry(spark, sf_dir).groupBy("document_type").agg(F.count_if(F.col("quality_status").isNull()).alias("missing"), F.count("*").alias("total"))
+
+
 # --- review -------------------------------------------------------------------------------------------------------------
 
 
@@ -320,6 +335,14 @@ def slip_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("read_id", *[F.concat_ws("|", F.col(f)["value"], F.col(f)["confidence"], F.col(f)["source"]).alias(f) for f in slips.FIELDS], "n_fields", "level")
 
 
+@query()
+def ocr_best_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of three readings of each slip: as read, without letters, with its blanks doubled."""
+    t = F.col("raw_ocr_text")
+    rows = read_table(spark, sf_dir, "slip_reads").select("read_id", "raw_ocr_text").distinct().where(t.isNotNull())
+    return slips.best_reading(rows.withColumn("v", F.array(F.regexp_replace(t, "[A-Za-z]", "#"), t, F.regexp_replace(t, " ", "  "))), "read_id", "v").select("read_id", "variant", F.round("score", 2).alias("score"))
+
+
 def _generated(spark: SparkSession, sf_dir: str, kinds: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
     rows = read_table(spark, sf_dir, "orders").join(read_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.select("o_orderkey", kinds(F.col("c_name"), F.col("o_totalprice"), F.col("o_orderdate"), F.col("o_orderkey")).alias("t"), "c_name", "o_totalprice", "o_orderdate")

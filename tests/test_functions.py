@@ -98,3 +98,17 @@ def test_quality_and_sources(spark):
     kinds = each(spark, files.sniff, [bytearray(b"\xff\xd8\xff\xe0"), bytearray(b"\x89PNG\r\n\x1a\n"), bytearray(b"RIFF1234WEBP"), bytearray(b"text"), None], "binary")
     assert kinds == ["image/jpeg", "image/png", "image/webp", None, None]
     assert each(spark, lambda c: labels.label(c, labels.DOCUMENT_TYPES), ["CHEQUE", "SOME_CODE", None]) == ["Cheque", "Some Code", None]
+
+
+def test_best_reading(spark):
+    good = "Amount: 1,250.00\nReference: 016126175244BTF00250"
+    rows = [(1, ["short", "Amount: 1,250.00 ###", good, good]), (2, ["short"]), (3, None), (4, [])]
+    out = {r.k: r for r in slips.best_reading(spark.createDataFrame(rows, "k int, v array<string>"), "k", "v").collect()}
+    assert set(out) == {1} and out[1].text == good and out[1].variant == 2
+
+
+def test_result_summary(spark):
+    df = spark.createDataFrame([("NEW", "SUPPRESSED_NEAR_DUPLICATE", "PENDING", "FAIL", ["AMOUNT_MISMATCH"]), (None,) * 5], "a string, b string, c string, d string, e array<string>")
+    got = [[(i.label, i.value) for i in r[0]] for r in df.select(labels.result_summary(*map(F.col, "abcde"))).collect()]
+    assert got[0][:2] == [("Duplicate check", "Near-duplicate suppressed"), ("Why", "different amount")] and len(got[0]) == 4
+    assert got[1] == [("Duplicate check", "New upload")]
