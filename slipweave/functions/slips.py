@@ -117,8 +117,7 @@ def clean_text(text: Column) -> Column:
 def _take(text: Column, rule: Rule) -> Column:
     """What a rule's pattern captures in a text; null without a match."""
     groups = [F.nullif(F.regexp_extract(text, rule.pattern, g), F.lit("")) for g in rule.groups]
-    joined = groups[0] if len(groups) == 1 else F.when(groups[0].isNotNull(), F.concat_ws(" ", *groups))
-    return F.when(text.rlike(rule.pattern), joined)
+    return groups[0] if len(groups) == 1 else F.when(groups[0].isNotNull(), F.concat_ws(" ", *groups))
 
 
 def _value(rule: Rule, flat: Column, lines: Column, clean: Clean) -> Column:
@@ -148,9 +147,12 @@ def _field(value: Column, confidence: Column, source: Column) -> Column:
 
 
 def _first(options: list[tuple[Column, str, str]]) -> Column:
-    value = F.coalesce(*[v for v, _, _ in options])
-    pick = lambda k, none: F.coalesce(*[F.when(o[0].isNotNull(), F.lit(o[k])) for o in options], F.lit(none))
-    return _field(value, pick(1, "NONE"), pick(2, "no-match"))
+    """The first option with a value. A lambda names each value once, so no rule is evaluated more than once."""
+
+    def tried(value: Column, confidence: str, source: str) -> Column:
+        return F.get(F.transform(F.array(value), lambda x: F.when(x.isNotNull(), _field(x, F.lit(confidence), F.lit(source)))), F.lit(0))
+
+    return F.coalesce(*[tried(*o) for o in options], _field(F.lit(None).cast("string"), F.lit("NONE"), F.lit("no-match")))
 
 
 def bank(text: Column) -> Column:
