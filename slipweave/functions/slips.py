@@ -157,8 +157,8 @@ def _first(options: list[tuple[Column, str, str]]) -> Column:
 
 def bank(text: Column) -> Column:
     """The first bank of the list that a text names."""
-    upper = F.upper(text)
-    return F.coalesce(*[F.when(F.contains(upper, F.lit(b.upper())), F.lit(b)) for b in BANKS])
+    named = lambda upper: F.coalesce(*[F.when(F.contains(upper, F.lit(b.upper())), F.lit(b)) for b in BANKS])
+    return F.get(F.transform(F.array(F.upper(text)), named), F.lit(0))
 
 
 def account_tail(text: Column) -> Column:
