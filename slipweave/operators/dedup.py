@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from slipweave.functions import hashing
 from slipweave.operators.skew import lookup
 
-#: Oldest hashed records of an owner that a near-duplicate search looks at; None for all.
+#: Oldest hashed records of an owner that the reference's near-duplicate search looks at; the search here looks at all unless told so.
 CANDIDATE_LIMIT = 200
 
 
@@ -35,8 +35,8 @@ def exact_first_seen(registry: DataFrame) -> DataFrame:
     return out.where(F.col("document_id") != F.col("matched_id")).select("document_id", "user_id", "matched_id")
 
 
-def hashed_pool(registry: DataFrame, limit: int | None = CANDIDATE_LIMIT) -> DataFrame:
-    """Candidates of the near search: (c_id, user_id, c_created, c_bits), the `limit` oldest of each owner."""
+def hashed_pool(registry: DataFrame, limit: int | None = None) -> DataFrame:
+    """Candidates of the near search: (c_id, user_id, c_created, c_bits), all or the `limit` oldest of each owner."""
     pool = registry.where(F.col("perceptual_hash").isNotNull() & F.col("user_id").isNotNull()).select(
         "user_id", F.col("document_id").alias("c_id"), F.col("created_at").alias("c_created"), hashing.hash_bits(F.col("perceptual_hash")).alias("c_bits")
     )
@@ -45,7 +45,7 @@ def hashed_pool(registry: DataFrame, limit: int | None = CANDIDATE_LIMIT) -> Dat
     return pool.where(F.col("c_bits").isNotNull())
 
 
-def near_pairs(registry: DataFrame, limit: int | None = CANDIDATE_LIMIT, probes: DataFrame | None = None) -> DataFrame:
+def near_pairs(registry: DataFrame, limit: int | None = None, probes: DataFrame | None = None) -> DataFrame:
     """(document_id, user_id, candidate_id, distance) of every earlier candidate within the distance.
 
     Equal bands (nine for eight bits) make an equi-join of a theta join; a pair is kept in the first band it shares, so

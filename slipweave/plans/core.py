@@ -63,6 +63,9 @@ _PAIRS = (
 pairs AS (SELECT p.document_id, p.user_id, c.document_id AS candidate_id, c.created_at AS candidate_created, bit_count(xor(p.bits, c.bits)) AS distance
   FROM hashed p JOIN pool c ON p.user_id = c.user_id AND {_EARLIER} WHERE bit_count(xor(p.bits, c.bits)) <= 8)"""
 )
+# The same pairs with every hashed record of the owner as a candidate.
+_ALL_PAIRS = _PAIRS.replace(_POOL, """,
+pool AS (SELECT * FROM hashed WHERE bits IS NOT NULL)""")
 _EXACT = """,
 exact AS (SELECT document_id, user_id, first_value(document_id) OVER (PARTITION BY user_id, lower(exact_hash) ORDER BY created_at, document_id) AS matched_id
   FROM reg WHERE exact_hash IS NOT NULL AND user_id IS NOT NULL QUALIFY matched_id <> document_id),
@@ -70,6 +73,8 @@ best AS (SELECT document_id, user_id, candidate_id AS matched_id, distance FROM
   QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY distance, candidate_created, candidate_id) = 1)"""
 
 
+# Queries named *_uncapped compare with all records of the owner; those without it keep the reference's cap, as their SQL does.
+
 # --- duplicates -------------------------------------------------------------------------------------------------------
 
 
@@ -78,21 +83,29 @@ def exact_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_first_seen(_registry(spark, sf_dir))
 
 
-@query(f"WITH {_PAIRS}{_EXACT} SELECT document_id, user_id, matched_id, distance::INTEGER AS distance, round(1 - distance / 64.0, 4)::DOUBLE AS similarity FROM best")
+_BEST = "SELECT document_id, user_id, matched_id, distance::INTEGER AS distance, round(1 - distance / 64.0, 4)::DOUBLE AS similarity FROM best"
+
+
+@query(f"WITH {_PAIRS}{_EXACT} {_BEST}")
 def near_dup_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.best_match(dedup.near_pairs(_registry(spark, sf_dir), dedup.CANDIDATE_LIMIT))
+
+
+@query(f"WITH {_ALL_PAIRS}{_EXACT} {_BEST}")
+def near_dup_best_match_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.best_match(dedup.near_pairs(_registry(spark, sf_dir)))
 
 
 @query(f"""WITH {_HASHED} SELECT p.document_id, count(*) AS n_candidates, min(bit_count(xor(p.bits, c.bits)))::INTEGER AS nearest
 FROM hashed p JOIN hashed c ON p.user_id = c.user_id AND {_EARLIER} WHERE bit_count(xor(p.bits, c.bits)) <= 8 GROUP BY p.document_id""")
 def near_dup_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = dedup.near_pairs(_registry(spark, sf_dir), limit=None)
+    pairs = dedup.near_pairs(_registry(spark, sf_dir))
     return pairs.groupBy("document_id").agg(F.count("*").alias("n_candidates"), F.min("distance").alias("nearest"))
 
 
-def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _decisions(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
     reg = _registry(spark, sf_dir)
-    best = dedup.best_match(dedup.near_pairs(reg)).select("*", F.lit(False).alias("suppressed"), F.array().cast("array<string>").alias("reasons"))
+    best = dedup.best_match(dedup.near_pairs(reg, limit)).select("*", F.lit(False).alias("suppressed"), F.array().cast("array<string>").alias("reasons"))
     return dedup.decide(reg, dedup.exact_first_seen(reg), best)
 
 
@@ -103,40 +116,79 @@ _DECIDED = f"""WITH {_PAIRS}{_EXACT}, decided AS (SELECT r.document_id, r.user_i
   CASE WHEN e.matched_id IS NOT NULL THEN 1.0::DOUBLE ELSE round(1 - b.distance / 64.0, 4)::DOUBLE END AS similarity,
   CASE WHEN e.matched_id IS NULL AND b.matched_id IS NOT NULL THEN 'PENDING' ELSE 'NOT_REQUIRED' END AS review_status
   FROM reg r LEFT JOIN exact e USING (document_id) LEFT JOIN best b ON b.document_id = r.document_id) """
+_ALL_DECIDED = _DECIDED.replace(_PAIRS, _ALL_PAIRS)
 
 
 @query(_DECIDED + "SELECT * FROM decided")
 def duplicate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decisions(spark, sf_dir, dedup.CANDIDATE_LIMIT).withColumn("reasons", F.array_join("reasons", ";"))
+
+
+@query(_ALL_DECIDED + "SELECT * FROM decided")
+def duplicate_decision_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decisions(spark, sf_dir).withColumn("reasons", F.array_join("reasons", ";"))
 
 
-@query(_DECIDED + """SELECT user_id, count(*) AS total, count(*) FILTER (duplicate_status = 'EXACT_DUPLICATE') AS exact,
-count(*) FILTER (duplicate_status = 'LIKELY_DUPLICATE') AS likely, count(*) FILTER (duplicate_status = 'NEW') AS new FROM decided GROUP BY user_id""")
-def decision_counts_by_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+_COUNTED = """SELECT user_id, count(*) AS total, count(*) FILTER (duplicate_status = 'EXACT_DUPLICATE') AS exact,
+count(*) FILTER (duplicate_status = 'LIKELY_DUPLICATE') AS likely, count(*) FILTER (duplicate_status = 'NEW') AS new FROM decided GROUP BY user_id"""
+
+
+def _counted(decisions: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("duplicate_status") == s)
-    return _decisions(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("total"), n("EXACT_DUPLICATE").alias("exact"), n("LIKELY_DUPLICATE").alias("likely"), n("NEW").alias("new"))
+    return decisions.groupBy("user_id").agg(F.count("*").alias("total"), n("EXACT_DUPLICATE").alias("exact"), n("LIKELY_DUPLICATE").alias("likely"), n("NEW").alias("new"))
+
+
+@query(_DECIDED + _COUNTED)
+def decision_counts_by_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(_decisions(spark, sf_dir, dedup.CANDIDATE_LIMIT))
+
 
+@query(_ALL_DECIDED + _COUNTED)
+def decision_counts_by_owner_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(_decisions(spark, sf_dir))
 
-@query(f"""WITH {_PAIRS}, seen AS (SELECT DISTINCT user_id, least(document_a_id, document_b_id) AS a, greatest(document_a_id, document_b_id) AS b FROM review_pairs)
+
+_UNSEEN = """, seen AS (SELECT DISTINCT user_id, least(document_a_id, document_b_id) AS a, greatest(document_a_id, document_b_id) AS b FROM review_pairs)
 SELECT document_id, candidate_id, distance::INTEGER AS distance FROM pairs p
-WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = p.user_id AND s.a = least(p.document_id, p.candidate_id) AND s.b = greatest(p.document_id, p.candidate_id))""")
-def reviewed_pair_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = dedup.near_pairs(_registry(spark, sf_dir))
+WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = p.user_id AND s.a = least(p.document_id, p.candidate_id) AND s.b = greatest(p.document_id, p.candidate_id))"""
+
+
+def _unseen(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+    pairs = dedup.near_pairs(_registry(spark, sf_dir), limit)
     return dedup.without_reviewed(pairs, read_table(spark, sf_dir, "review_pairs")).select("document_id", "candidate_id", "distance")
 
 
+@query(f"WITH {_PAIRS}{_UNSEEN}")
+def reviewed_pair_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unseen(spark, sf_dir, dedup.CANDIDATE_LIMIT)
+
+
+@query(f"WITH {_ALL_PAIRS}{_UNSEEN}")
+def reviewed_pair_antijoin_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unseen(spark, sf_dir)
+
+
 EVIDENCE = ["amount", "transaction_reference", "receiver_name", "sender_name", "date_time", "receiver_bank"]
 
 
-@query()
-def suppressed_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _suppressed(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
     """Near duplicates after evidence: the nearest candidate that no slip field contradicts, else the reasons."""
     reg = _registry(spark, sf_dir)
     evidence = reg.select("document_id", "document_type").join(_reads(spark, sf_dir).select("document_id", *EVIDENCE), "document_id")
-    resolved = assess.resolve(dedup.near_pairs(reg), evidence, EVIDENCE)
+    resolved = assess.resolve(dedup.near_pairs(reg, limit), evidence, EVIDENCE)
     return dedup.decide(reg, dedup.exact_first_seen(reg), resolved).where("decision <> 'NEW_UPLOAD'").withColumn("reasons", F.array_join("reasons", ";"))
 
 
+@query()
+def suppressed_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suppressed(spark, sf_dir, dedup.CANDIDATE_LIMIT)
+
+
+@query()
+def suppressed_near_duplicates_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suppressed(spark, sf_dir)
+
+
 _OUTCOME = """CASE WHEN quality_status = 'FAIL' THEN 'qualityRejected' WHEN duplicate_decision_type = 'EXACT_DUPLICATE' OR duplicate_status = 'EXACT_DUPLICATE' THEN 'exactDuplicate'
 WHEN duplicate_decision_type = 'LIKELY_DUPLICATE_REVIEW' OR duplicate_status = 'LIKELY_DUPLICATE' THEN 'reviewNeeded' WHEN duplicate_decision_type = 'SUPPRESSED_NEAR_DUPLICATE' THEN 'suppressed' ELSE 'newUpload' END"""
 
@@ -445,4 +497,4 @@ def p3_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_decision(spark, sf_dir)
+    return duplicate_decision_uncapped(spark, sf_dir)
