@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slipweave.llm import groups
+from slipweave.operators.skew import lookup
 from slipweave.sources.tables import Scratch
 
 MAX_DISTANCE = 8
@@ -192,9 +194,31 @@ def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return out.select(F.least("d1", "d2").alias("document_a_id"), F.greatest("d1", "d2").alias("document_b_id")).distinct()
 
 
-def record_classes(members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per record: its class of equal vectors and the number of other classes linked to it."""
-    ends = links.select("user_id", F.col("vec_a").alias("vec")).unionByName(links.select("user_id", F.col("vec_b").alias("vec")))
-    degree = ends.groupBy("user_id", "vec").agg(F.count("*").alias("n_links"))
-    out = members.join(degree, ["user_id", "vec"], "left")
-    return out.select("document_id", "user_id", F.lower(F.lpad(F.hex("vec"), 16, "0")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+def record_classes(members: DataFrame, links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """One row per record: its class and the number of other classes linked to it.
+
+    A class is a group of records of one owner that equal vectors or equal exact hashes join; its id is the smallest
+    vector in hexadecimal, or the exact hash if no record of it has a vector. Records with neither have no class.
+    """
+    scratch = scratch or Scratch(members.sparkSession, "classes")
+    hexed = F.lower(F.lpad(F.hex("vec"), 16, "0"))
+    # An exact hash joins its vectors to the smallest of them; few hashes have more than one vector.
+    both = members.where(F.col("vec").isNotNull() & F.col("exact").isNotNull()).select("user_id", "exact", hexed.alias("h")).distinct()
+    least = scratch.write(both.groupBy("user_id", "exact").agg(F.min("h").alias("lo"), F.count("*").alias("n")), "least")
+    star = lookup(both, least.where("n > 1").drop("n"), ["user_id", "exact"], "inner").where(F.col("h") != F.col("lo"))
+    # The owner before 16 digits: the smallest id of a group has its smallest vector.
+    joined = groups.connected_groups(star.select(F.concat("user_id", "h").alias("a"), F.concat("user_id", "lo").alias("b")), "a", "b", scratch)
+    owner = F.expr("substring(id, 1, length(id) - 16)")
+    top = scratch.write(joined.select(owner.alias("user_id"), F.expr("right(id, 16)").alias("h"), F.expr("right(group_id, 16)").alias("top")).where("h <> top"), "tops")
+    classed = lambda rows: rows.join(top, ["user_id", "h"], "left").withColumn("class_id", F.coalesce("top", "h")).drop("top", "h")
+    of_exact = classed(least.select("user_id", "exact", F.col("lo").alias("h")))
+    seen, unseen = members.where(F.col("vec").isNotNull()), members.where(F.col("vec").isNull())
+    own = ["document_id", "user_id", "class_id"]
+    out = classed(seen.select("document_id", "user_id", hexed.alias("h"))).select(*own)
+    out = out.unionByName(lookup(unseen.drop("vec"), of_exact, ["user_id", "exact"]).withColumn("class_id", F.coalesce("class_id", "exact")).select(*own))
+    # A link of vectors is a link of their classes, counted once and not within a class.
+    ends = links.select("user_id", F.lower(F.lpad(F.hex("vec_a"), 16, "0")).alias("h"), F.lower(F.lpad(F.hex("vec_b"), 16, "0")).alias("other"))
+    ends = classed(classed(ends).withColumnsRenamed({"class_id": "a", "other": "h"})).withColumnRenamed("class_id", "b").where(F.col("a") != F.col("b"))
+    ends = ends.select("user_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    degree = ends.select("user_id", F.explode(F.array("a", "b")).alias("class_id")).groupBy("user_id", "class_id").agg(F.count("*").alias("n_links"))
+    return lookup(out, degree, ["user_id", "class_id"]).select("document_id", "user_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -61,7 +61,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental.record_classes(*incremental.near_records(read_table(spark, sf_dir, "document_records"), Scratch(spark, "p6")))
+    scratch = Scratch(spark, "p6")
+    return incremental.record_classes(*incremental.near_records(read_table(spark, sf_dir, "document_records"), scratch), scratch)
 
 
 def _texts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
