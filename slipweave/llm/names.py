@@ -4,8 +4,10 @@ Names are brought to one form (problem 4), stripped of titles and legal forms an
 index finds candidates: each name is filed under every one-character deletion of each of its tokens together with the
 first letter of another token, so two names meet if one token differs by at most one edit and the other keeps its
 initial. Candidates are compared by the optimal assignment of their tokens, which permits one imperfect token: an edit,
-a cut, an abbreviation, a nickname or an initial. An edit or a cut is believed only while it is likelier than another
-party of that very name, judged by how often the token occurs in all names and by the number of the owner's names.
+a cut, an abbreviation, a nickname or an initial. An edit is believed unless both spellings are established tokens: the
+rarer one is used by several owners and not much rarer than the other, or the nickname reference has both. A cut is
+believed only while it is likelier than another party of that very name, judged by how often the token occurs in all
+names and by the number of the owner's names.
 Links are closed to groups; a name with an initial joins a group only if no other group fits it.
 """
 
@@ -31,8 +33,10 @@ BRANCH = re.compile(r"[(\[]?\s*(?:branch|สาขา)\s*(?:no\.?\s*)?(?:ที
 NICK = re.compile(r"\([^()]*\)")
 WORD = re.compile(r"[^\s,;/()&+-]+")
 
-#: Chance that a spelling of a party has one given edit, or one given cut.
-EDIT_ODDS, CUT_ODDS = 3e-4, 2e-3
+#: Chance that a spelling of a party has one given cut.
+CUT_ODDS = 2e-3
+#: A token of at least so many owners is established beside another one unless it is so many times rarer.
+SPREAD, RIVAL = 3, 20
 #: Share of parties with a relative of the same surname among the owner's names.
 RELATIVES = 0.2
 #: An abbreviation is so many times rarer than its word, and a misprint than the word it spoils.
@@ -103,8 +107,10 @@ def abbreviates(short: str, long: str) -> bool:
 class Matcher:
     """Compares two parsed names of one owner."""
 
-    def __init__(self, shares: dict[str, float], total: int, nicknames: dict[str, set[str]]):
-        self.shares, self.least, self.nick = shares, 0.5 / max(total, 1), nicknames
+    def __init__(self, shares: dict[str, float], total: int, nicknames: dict[str, set[str]], spread: set[str] = frozenset()):
+        """spread has the tokens of at least SPREAD owners."""
+        self.shares, self.least, self.nick, self.spread = shares, 0.5 / max(total, 1), nicknames, spread
+        self.reference = {*nicknames, *(g for gs in nicknames.values() for g in gs)}
 
     def share(self, token: str) -> float:
         return self.shares.get(token, self.least)
@@ -132,12 +138,17 @@ class Matcher:
             return "b", short
         return "", ""
 
+    def established(self, rare: str, usual: str) -> bool:
+        """Whether two tokens one edit apart are both names of their own; owner and table size do not matter."""
+        return (rare in self.reference and usual in self.reference) or (rare in self.spread and self.share(rare) * RIVAL > self.share(usual))
+
     def likely(self, kind: str, rare: str, usual: str, other: str, names: int) -> bool:
         """Whether the difference is likelier than a second party of that name."""
         if kind in "=nb" or (kind == "e" and self.share(rare) * MISPRINT < self.share(usual)):
             return True
-        chance = max(names * self.share(other) * self.share(rare), RELATIVES * self.share(rare))
-        return chance < (EDIT_ODDS if kind == "e" else CUT_ODDS)
+        if kind == "e":
+            return not self.established(rare, usual)
+        return max(names * self.share(other) * self.share(rare), RELATIVES * self.share(rare)) < CUT_ODDS
 
     def compare(self, a: tuple, b: tuple, names: int) -> str:
         """'s' for the same party, 'w' if only an initial speaks for it, '' for different parties."""
@@ -250,14 +261,19 @@ def link_names(names: DataFrame, nicknames: DataFrame, scratch: Scratch) -> Data
     given: dict[str, set[str]] = {}
     for r in nicknames.where("given_name is not null and nickname is not null").select("given_name", "nickname").collect():  # a reference table
         given.setdefault(r.nickname.casefold(), set()).add(r.given_name.casefold())
-    tokens = parsed.select(F.explode(F.array_distinct("full")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, total * LEAST_SHARE))
+    # Combined by owner first, so that no owner's rows of a frequent token meet in one task.
+    tokens = parsed.select("user_id", F.explode(F.expr("array_distinct(transform(full, t -> rtrim('.', t)))")).alias("t")).groupBy("t", "user_id").agg(F.count("*").alias("n"))
+    tokens = tokens.groupBy("t").agg(F.sum("n").alias("n"), (F.count("*") >= SPREAD).alias("spread")).where(F.col("n") >= max(2, total * LEAST_SHARE))
     shares: dict[str, float] = {}
-    for t, n in tokens.toLocalIterator():  # bounded by LEAST_SHARE
-        shares[t.rstrip(".")] = shares.get(t.rstrip("."), 0.0) + n / total
-    known = spark.sparkContext.broadcast((shares, given))
+    spread: set[str] = set()
+    for t, n, wide in tokens.toLocalIterator():  # bounded by LEAST_SHARE
+        shares[t] = n / total
+        if wide:
+            spread.add(t)
+    known = spark.sparkContext.broadcast((shares, given, spread))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, nick = known.value
+        _, nick, _ = known.value
         for b in batches:
             keys = [sorted(keys_of(p, nick)) for p in _unpack(b, "")]
             yield b[["user_id", "id"]].assign(k=keys)
@@ -271,8 +287,8 @@ def link_names(names: DataFrame, nicknames: DataFrame, scratch: Scratch) -> Data
     joined = pairs.join(side("_a"), "id_a").join(side("_b"), "id_b").where(F.col("user_id_a") == F.col("user_id_b")).join(sizes.withColumnRenamed("user_id", "user_id_a"), "user_id_a")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sh, nick = known.value
-        matcher = Matcher(sh, total, nick)
+        sh, nick, wide = known.value
+        matcher = Matcher(sh, total, nick, wide)
         for b in batches:
             says = [matcher.compare(p, q, n) for p, q, n in zip(_unpack(b, "_a"), _unpack(b, "_b"), b["names"], strict=True)]
             weak_a = b["full_a"].map(len).eq(1) & b["initials_a"].map(len).gt(0)
