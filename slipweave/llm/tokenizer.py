@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the vocabulary's pre-token pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for the standard library's engine, which is faster; it holds unless a text has one of _UNLIKE.
-_FAST = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The same for the standard library's engine, which is faster (what begins with an apostrophe may come third); it holds unless a text has one of _UNLIKE.
+_FAST = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[sdmt]|ll|ve|re)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _EXACT = regex.compile(PATTERN)
 #: Pre-tokens kept, and the longest of them in characters; states kept.
 TABLE_WORDS, TABLE_LENGTH, MAX_STATES = 200_000, 48, 200_000
@@ -45,17 +45,22 @@ START = -1
 
 
 @cache
-def _unlike() -> frozenset[str]:
-    """Characters that the two pattern engines put in different classes: numbers that are no digits, odd separators."""
+def _unlike() -> tuple[Callable[[str], object], frozenset[str]]:
+    """Characters that the two pattern engines put in different classes: numbers that are no digits, odd separators.
+
+    A search for those of the basic plane, or for any character beyond it, and all of them.
+    """
     every = map(chr, range(sys.maxunicode + 1))
-    return frozenset(c for c in every if unicodedata.category(c) in ("Nl", "No") or "\x1c" <= c <= "\x1f" or (unicodedata.category(c) in ("Lo", "Lm", "Nd") and not c.isalnum()))
+    odd = [c for c in every if unicodedata.category(c) in ("Nl", "No") or "\x1c" <= c <= "\x1f" or (unicodedata.category(c) in ("Lo", "Lm", "Nd") and not c.isalnum())]
+    return re.compile(f"[{''.join(c for c in odd if c <= '\uffff')}\U00010000-\U0010ffff]").search, frozenset(odd)
 
 
 def pre_tokens(text: str) -> list[str]:
     if text.isascii():
         alike = not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
     else:
-        alike = _unlike().isdisjoint(text)
+        search, odd = _unlike()
+        alike = not search(text) or odd.isdisjoint(text)
     return (_FAST if alike else _EXACT).findall(text)
 
 
@@ -104,6 +109,7 @@ class Transducer:
         self.words: dict[str, tuple[int, ...]] = _Words(self)
         self.numbers: dict[str, tuple[int, ...]] = {}
         self.coder = NumberCoder(self)
+        self.sizes = Described(self, lambda t, word: len(t.words[word]), lambda n, _: n)
 
     def _reset(self) -> None:
         self.states: list[tuple[int, tuple[int, ...]]] = [(0, (START,))]
@@ -246,15 +252,14 @@ class Transducer:
     def meet(self, words: Iterable[list[str]]) -> None:
         """Prepare for these pre-tokens: numbers not met before are encoded together, and kept until the next call."""
         self.numbers = {}
-        table = self.words
-        self.numbers = self.coder.encode([w for w in set(chain.from_iterable(words)) if w not in table and w[-1].isdigit()])
+        self.numbers = self.coder.encode([w for w in set(chain.from_iterable(words)).difference(self.words) if w[-1].isdigit()])
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text without special tokens; null and empty texts give no ids."""
         return list(chain.from_iterable(map(self.words.__getitem__, pre_tokens(text)))) if text else []
 
     def count(self, text: str | None) -> int:
-        return sum(map(len, map(self.words.__getitem__, pre_tokens(text)))) if text else 0
+        return len(self.encode(text))
 
     def decode(self, ids: Iterable[int]) -> str:
         return "".join(decode_stream(self.by_id, ids))
@@ -269,6 +274,8 @@ class NumberCoder:
     """
 
     LONGEST, BASE = 4, 11
+    PLAIN = re.compile(" ?[0-9]{3,24}").fullmatch
+
     def __init__(self, t: Transducer):
         self.t = t
         own = [i for i, b in enumerate(t.spell) if b == b" " or re.fullmatch(rb" ?[0-9]+", b)]
@@ -276,7 +283,8 @@ class NumberCoder:
         # Long tokens with a blank can only begin a number; of the others those count that hold no other.
         self.skip_start = {x[: self.LONGEST + 1] for x in long if x[0] == " "}
         inner = [x for x in long if x[0] != " "]
-        self.skip_inside = [x for x in inner if not any(y != x and y in x for y in inner)]
+        inner = [x for x in inner if not any(y != x and y in x for y in inner)]
+        self.skip_inside = re.compile("|".join(inner) or "(?!)").search
         self.own = np.array([i for i in own if len(t.spell[i]) <= self.LONGEST])
         self.size = np.array([len(t.spell[i]) for i in self.own])
         self.public = np.array([t.public[i] for i in self.own])
@@ -317,15 +325,12 @@ class NumberCoder:
             x[i], y[j] = self.right[x[i]], right[~undo_x]
         return known
 
-    def encode(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Public ids of the numbers among the words."""
+    def _read(self, words: Iterable[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+        """The numbers among the words, those of one length together, and the last token of each of their prefixes."""
         by_size: dict[int, list[str]] = {}
         for w in words:
-            bare = w[1:] if w[0] == " " else w
-            plain = 3 <= len(bare) <= 24 and bare.isascii() and bare.isdigit()
-            if plain and w[: self.LONGEST + 1] not in self.skip_start and not any(x in w for x in self.skip_inside):
+            if self.PLAIN(w) and w[: self.LONGEST + 1] not in self.skip_start and not self.skip_inside(w):
                 by_size.setdefault(len(w), []).append(w)
-        out: dict[str, tuple[int, ...]] = {}
         for n, same in by_size.items():
             symbols = np.frombuffer("".join(same).encode(), np.uint8).reshape(len(same), n).astype(np.int64) - 48
             symbols[symbols < 0] = 10
@@ -349,7 +354,13 @@ class NumberCoder:
                         fits = self.apart[prior, this]
                     best[rows[fits > 0]] = this[fits > 0]
                 lasts[:, i] = best
-            place, every, back = np.full(len(same), n), np.arange(len(same)), []
+            yield same, lasts
+
+    def encode(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Public ids of the numbers among the words."""
+        out: dict[str, tuple[int, ...]] = {}
+        for same, lasts in self._read(words):
+            place, every, back = np.full(len(same), lasts.shape[1] - 1), np.arange(len(same)), []
             while (place > 0).any():
                 token = lasts[every, place]
                 ended = place <= 0
@@ -359,6 +370,17 @@ class NumberCoder:
                 out[w] = tuple(x for x in ids if x >= 0)
         return out
 
+    def sizes(self, words: Iterable[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """Numbers of tokens of the numbers among the words: lists of words, their sizes and whether they begin with a blank."""
+        for same, lasts in self._read(words):
+            n, open_ = np.zeros(len(same), np.int64), np.arange(len(same))
+            place = np.full(len(same), lasts.shape[1] - 1)
+            while len(open_):
+                n[open_] += 1
+                place = place - self.size[lasts[open_, place]]
+                open_, place = open_[place > 0], place[place > 0]
+            yield same, n, np.fromiter(map(str.isspace, [w[0] for w in same]), np.int64, len(same))
+
 
 class _Words(dict):
     """Ids of pre-tokens met before; emptied when it holds too many."""
@@ -429,8 +451,8 @@ def _batches(of: Callable[[Transducer, list[str | None]], pa.Array], name: str,
     return run
 
 
-def in_parts(t: Transducer, texts: list[str | None]) -> Iterator[list[list[str]]]:
-    """Pre-tokens of the texts, some texts at a time, prepared for."""
+def in_parts(texts: list[str | None]) -> Iterator[list[list[str]]]:
+    """Pre-tokens of the texts, some texts at a time."""
     begin = 0
     while begin < len(texts):
         part, size = [], 0
@@ -439,13 +461,43 @@ def in_parts(t: Transducer, texts: list[str | None]) -> Iterator[list[list[str]]
             part.append(pre_tokens(text) if text else [])
             size += len(text or "") + 1
             begin += 1
-        t.meet(part)
         yield part
 
 
+class Described(dict):
+    """A number by pre-token, made by `of` when first met; emptied when it holds too many.
+
+    Digits are met once and make up most of the new pre-tokens: those of a part are sized together, and left out after it.
+    """
+
+    def __init__(self, t: Transducer, of: Callable[[Transducer, str], int], of_number: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        super().__init__()
+        self.t, self.of, self.of_number = t, of, of_number
+
+    def __missing__(self, word: str) -> int:
+        out = self.of(self.t, word)
+        if len(word) <= TABLE_LENGTH:
+            self[word] = out
+        return out
+
+    def all(self, words: list[str]) -> np.ndarray:
+        """The numbers of these pre-tokens."""
+        if len(self) > TABLE_WORDS:
+            self.clear()
+        digits: dict[str, int] = {}
+        for same, sizes, blank in self.t.coder.sizes([w for w in set(words).difference(self) if w[-1].isdigit()]):
+            digits.update(zip(same, self.of_number(sizes, blank).tolist(), strict=True))
+        self.update(digits)
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        for w in digits:
+            del self[w]
+        return out
+
+
 def _ids(t: Transducer, texts: list[str | None]) -> pa.Array:
     flat, sizes = [], []
-    for part in in_parts(t, texts):
+    for part in in_parts(texts):
+        t.meet(part)
         for words in part:
             flat.append(np.fromiter(chain.from_iterable(map(t.words.__getitem__, words)), np.int32))
             sizes.append(len(flat[-1]))
@@ -455,7 +507,13 @@ def _ids(t: Transducer, texts: list[str | None]) -> pa.Array:
 
 
 def _counts(t: Transducer, texts: list[str | None]) -> pa.Array:
-    return pa.array([sum(map(len, map(t.words.__getitem__, words))) for part in in_parts(t, texts) for words in part], pa.int64())
+    known = t.sizes
+    out = []
+    for part in in_parts(texts):
+        before = np.concatenate([[0], np.cumsum(known.all(list(chain.from_iterable(part))))])
+        ends = np.cumsum([len(words) for words in part])
+        out.append(np.diff(before[ends], prepend=0))
+    return pa.array(np.concatenate(out) if out else np.empty(0, np.int64), pa.int64())
 
 
 def _apply(df: DataFrame, text: str, out: str, kind: str, of: Callable, vocabulary: str) -> DataFrame:
