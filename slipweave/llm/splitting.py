@@ -184,12 +184,12 @@ class Layout:
         fits = [s for s in spots if s[1] <= target and here - s[1] <= room]
         return fits[-1] if fits else next(s for s in spots if s[1] > target)
 
-    def shorter_at_end(self, end: int) -> int:
+    def shorter_at_end(self, start: int, end: int) -> int:
         """Tokens saved where a piece ends behind blanks: before a word they are two pre-tokens, at the end one."""
         k = bisect_left(self.word_at, end)
-        if k < 2 or self.word_at[k] != end or not (self.words[k - 1].isspace() and self.words[k - 2].isspace()):
+        if k < 2 or self.word_at[k] != end or start >= self.word_at[k - 1] or not (self.words[k - 1].isspace() and self.words[k - 2].isspace()):
             return 0
-        words, a, b = self.t.words, self.words[k - 2], self.words[k - 1]
+        words, a, b = self.t.words, self.words[k - 2][max(0, start - self.word_at[k - 2]) :], self.words[k - 1]
         return len(words[a]) + len(words[b]) - len(words[a + b])
 
     def pieces(self, i: int, limits: list[tuple[int, int, int]]) -> Iterator[tuple]:
@@ -207,7 +207,7 @@ class Layout:
                 room = most - (before[hi] - before[lo])
                 start, tokens = self.back(lo, first, overlap, room) if k else (base, before[first])
                 end = at[hi]
-                n = before[hi] - tokens - (self.shorter_at_end(end) if end < stop else 0)
+                n = before[hi] - tokens - (self.shorter_at_end(start, end) if end < stop else 0)
                 yield limit_id, k, start - base, at[lo] - base, end - base, n
 
 
