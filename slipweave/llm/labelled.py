@@ -20,7 +20,7 @@ from slipweave.llm import lexicon, names
 from slipweave.llm.pii import Finder, NameModel, train
 
 #: Names sampled from the name fields (those of lowest hash), and labelled texts made.
-SAMPLE_NAMES, LABELLED_TEXTS = 20_000, 3_600
+SAMPLE_NAMES, LABELLED_TEXTS = 20_000, 5_400
 
 _GIVEN = (
     "James Olivia Mohammed Fatima Wei Mei Carlos Lucia Ahmed Aisha Hiroshi Yuki Anders Ingrid Pierre Camille Giulia Marco Priya Arjun Oluwaseun Ngozi Kofi Amara Dmitri Svetlana Piotr Agnieszka Nguyen Linh Jin Soo Minh Thanh "
@@ -84,7 +84,7 @@ FAMILIES: dict[str, list[str]] = {
         "Account holder: {plain}\nAccount: {tail}\nBranch: {num}", "Name: {name}\nE-mail: {mail}\nTel: {phone}", "Payer: {party}\nPayee: {party}\nSum: {money}\nRef: {ref}", "From\n{party}\n{bank} {tail}\nTo\n{party}\n{bank} {tail}", "Receiver: {party}", "Sender: {party}",
         "ผู้รับ\n{party}\n{bank}\n{tail}", "ผู้โอน: {party}\n{bank} {tail}", "จาก\n{party}", "ไปที่\n{party}\n{bank}", "ชื่อบัญชี {party}", "ผู้ส่ง {party}", "ชื่อผู้รับ: {party}", "Account name {party}", "Paid to {party}", "Amount {money}\nFee {money}\nTransaction ID {ref}", "จำนวน {money} บาท\nเลขที่รายการ {ref}",
         "Date {date} {clock}", "{stamp}", "{stamp}", "{bank}\n{stamp}", "{ref}\n{stamp}", "Done\n{stamp}\nFrom {party}", "{stamp}\nTo {party}", "Ref {ref}\n{stamp}", "Terminal {bill} batch {num}", "Biller {bill} ref {ref}", "card ending {tail}", "ext. {num}", "รหัสบิล {bill}", "สาขา {num}", "ref 1: {bill}\nref 2: {bill}", "To {party}\n{tail}", "From {party}\n{bank}", "account {tail} and {tail}", "จาก {party}", "ถึง {party}", "{bank}\n{tail}", "{bank} {tail}", "{bank}", "{firm}", "{bank}\n{tail}\n{ref}",
-        "memo {firm}", "{name} - {addr}", "{name} at {addr}", "rent {addr}", "for {addr}", "second one for {addr}, {mail}", "{mail} / {phone}", "numbers {phone} / {phone}", "phone: {phone}\nid: {id}", "memo: for {name}", "note: {addr}", "id {id}", "PromptPay {phone}", "PromptPay {id}", "{idword} {id}", "{name} {id}", "Contact {mail} {phone}", "mobile {hidden}", "slip total {money}",
+        "memo {firm}", "{name} - {addr}", "{name} at {addr}", "rent {addr}", "for {addr}", "second one for {addr}, {mail}", "{mail} / {phone}", "numbers {phone} / {phone}", "phone: {phone}\nid: {id}", "memo: for {name}", "note: {addr}", "id {id}", "PromptPay {phone}", "PromptPay {id}", "{idword} {id}", "{name} {id}", "Contact {mail} {phone}", "mobile {hidden}", "slip total {money}", "{money} บ า ท", "ย อ ด ร ว ม {money} บ า ท", "ร า ย ล ะ เ อ ี ย ด",
     ],
     "letter": [
         "Dear {name},\nplease answer to {mail}.\nRegards,\n{plain}", "Yours sincerely\n{plain}\n{addr}\n{phone}", "I, {plain}, of {addr}, confirm the sale", "cc: {name}; {name}", "Signed: {plain}, {idword} {id}", "{firm}\nAttn. {name}\n{addr}", "In reply to your letter of {date}, reference {ref}", "Copy to {plain}", "{plain}\n{addr}",
@@ -93,6 +93,10 @@ FAMILIES: dict[str, list[str]] = {
         "Jumped to {name}'s ticket {bill}", "Caller {plain} on {phone} is angry about {ref}", "Escalated to {name} at {clock}", "Left voicemail for {plain}", "mail from {mail}: asks where {money} went", "Same person, different {idword}: {doc}", "{plain} denies the payment to {firm}", "checked with {bank}, trace {ref}", "told {name} to write {mail}",
         "caller gave {phone} and {phone}", "wants a call at {phone} ext {num}", "two payments of {money} by {plain}", "case {bill} closed, {num} hours", "verified with {idword} {id}", "confirmed per phone with {name}", "{name} will send proof", "belongs to {plain}. Same as {ref}", "{plain} confirmed", "old address {addr}, new {addr}",
     ],
+    "places": [
+        "we live at {addr} now", "{plain} lives at {addr}", "he is staying at {addr} with friends", "My place is {addr}", "the office moved from {addr} to {addr}", "registered at {addr} since {date}", "born in {addr}", "found it outside {addr}", "{addr} is where {plain} works", "turn left at {addr}",
+        "parked near {addr}, ticket {bill}", "the shop in {addr} closed", "a letter for {addr} came back", "residence: {addr}", "{addr}\n{phone}", "living in {addr}, {idword} no. {doc}", "office {addr} or {addr}", "come to {addr} at {clock}", "no one at {addr} with that name", "{idword} no. {doc}", "{idword} no {id}", "insurance no {bill}", "พักอยู่ {addr}", "อยู่ที่ {addr}",
+    ],
     "thai_shop": [
         "{name} สั่งสองกล่อง", "ของหมด แจ้ง {name} แล้ว", "ส่งด่วนถึง {name} {addr}", "คืนเงิน {money} ให้ {name}", "เบอร์สำรอง {phone}", "ขอใบกำกับภาษีในนาม {firm}", "ชื่อผู้ซื้อ {plain} เลขบัตร {id}", "ส่งบิลไป {mail}", "บ้าน {addr} โทร {phone}", "รับเองโดย {name}", "คนโอนคือ {plain}", "โอนมาจาก {firm} {money} บาท", "รหัส {ref} เวลา {clock}", "{name} กับ {name} หารกัน",
     ],

@@ -46,7 +46,7 @@ _WORD = re.compile(f"[{_LETTER}][{_LETTER}.'’-]*")
 _BETWEEN = re.compile(",?[ \t]+")
 _INVISIBLE = re.compile(f"[{_UNSEEN}\\u0300-\\u036f]")
 GLUED_TITLE = re.compile(r"(?:นางสาว|น\.\s?ส\.|นาง|นาย|คุณ|ดร\.)(?=[ก-ฮเ-ไ])")
-SPACED = re.compile(f"(?<![ก-ฺเ-๎])(?:[ก-ฺเ-๎][{_UNSEEN}]*[ ]+[{_UNSEEN}]*){{4,}}[ก-ฺเ-๎](?![ก-ฺเ-๎])")
+SPACED = re.compile(f"(?<![ก-ฺเ-๎])(?:[ก-ฺเ-๎][{_UNSEEN}]*[ ]+[{_UNSEEN}]*){{2,}}[ก-ฺเ-๎](?![ก-ฺเ-๎])")
 
 _AT, _DOT = r"(?:\s?@\s?|\s?[(\[{<]\s?at\s?[)\]}>]\s?)", r"(?:\s?\.\s?|\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\sdot\s)"
 _LOCAL, _HOST = r"[A-Za-z0-9][A-Za-z0-9._%+-]*", r"[A-Za-z0-9-]+"
@@ -68,7 +68,7 @@ STREET = (
     "road|rd|street|st|lane|ln|avenue|ave|av|drive|way|court|ct|close|square|sq|boulevard|blvd|place|pl|crescent|cres|terrace|gardens?|grove|hill|mews|park|parade|quay|row|walk|highway|hwy|circle|alley|rise|"
     "strasse|straße|str\\.|weg|gasse|platz|allee|ring|damm|ufer|laan|straat"
 )
-STREET_FIRST = "rue|via|viale|piazza|corso|calle|avenida|plaza|paseo|carrera|rua|travessa|chemin|impasse|allée|quai|place|boulevard|jalan|jl\\.?|soi|thanon|moo|mu|tambon|ซ\\.|ซอย|ถ\\.|ถนน|หมู่|ม\\.(?!\\s?ค\\b)|ต\\.(?!\\s?ค\\b)|ตำบล|แขวง"
+STREET_FIRST = "avenue|rue|via|viale|piazza|corso|calle|avenida|plaza|paseo|carrera|rua|travessa|chemin|impasse|allée|quai|place|boulevard|jalan|jl\\.?|soi|thanon|moo|mu|tambon|ซ\\.|ซอย|ถ\\.|ถนน|หมู่|ม\\.(?!\\s?ค\\b)|ต\\.(?!\\s?ค\\b)|ตำบล|แขวง"
 _OPEN = r"(?<![\w/.:,-])"
 _UNIT = r"\b(?:unit|flat|apt|apartment|suite|room|block|blk|lot|house)\b\.?\s*#?[\dA-Z]+(?:[/-]\d+)?,?\s+"
 _NO = r"\d+[a-z]?(?:[/-]\d+)?"
@@ -193,7 +193,7 @@ def _context(line: str, above: int, kind: int, a: int, b: int) -> list[float]:
     word, far = _before(line, a, above)
     after = _PREVIOUS.match(line, b + 1)
     span, size = line[a:b], len(line)
-    return [kind, b - a, sum(map(str.isdigit, span)), word, far, _char(line[a - 1]) if a else 1, _char(line[b]) if b < size else 1, lexicon.word_class(after.group()) if after else 0, min(a, 60), min(size - b, 60), span.count(" ")]
+    return [kind, b - a, span.count("0"), word, far, _char(line[a - 1]) if a else 1, _char(line[b]) if b < size else 1, lexicon.word_class(after.group()) if after else 0, min(a, 60), min(size - b, 60), span.count(" "), _char(line[a - 2]) if a > 1 else 1]
 
 
 def _numbers(line: str, above: int, facts: tuple, mails: list[tuple[int, int]]) -> Iterator[Candidate]:
@@ -224,7 +224,10 @@ def _names(line: str, above: int, model: NameModel, hidden: list[tuple[int, int]
     size, thai_letters = len(line), line and "ก" <= max(line)
     spaced = [m.span() for m in SPACED.finditer(line)] if thai_letters else []
     for a, b in spaced:
-        org, other = model.score(_INVISIBLE.sub("", line[a:b]).replace(" ", ""))
+        whole = _INVISIBLE.sub("", line[a:b]).replace(" ", "").replace("ํา", "ำ")
+        if len(whole) < 5 or lexicon.word_class(whole):
+            continue
+        org, other = model.score(whole)
         word, far = _before(line, a, above)
         yield 4, a, b, [4, 2, b - a, 0, 0, 0, 0, 1, org, org, other, other, 0, 0, 0, 0, 0, 0, a == 0, b == size, _char(line[a - 1]) if a else 1, _char(line[b]) if b < size else 1, word, far, 0, 0, 0, False, 0, 0, (b - a) / 2, False]
     words = [(m.start(), m.end(), model.word(m.group())) for m in _WORD.finditer(line) if not spaced or not any(x <= m.start() < y for x, y in spaced)]
@@ -277,7 +280,7 @@ def _names(line: str, above: int, model: NameModel, hidden: list[tuple[int, int]
                 k = j - i + 1
                 nxt = words[j + 1][2] if j + 1 < n and joined[j] and not stop else None
                 # One word amid words that look like names is part of a longer candidate only.
-                inner = k == 1 and not title and (after_name or bool(nxt and not nxt[1] and not nxt[2] and not nxt[12] and (nxt[4] or nxt[7])))
+                inner = k == 1 and (bool(nxt and not nxt[1] and not nxt[2] and not nxt[12] and (nxt[4] or (nxt[7] and not title))) or (after_name and not title))
                 if letters >= 2 and (letters > 2 or thais) and not inner:
                     more = words[j + 2][2] if nxt and j + 2 < n and joined[j + 1] else None
                     yield 4, start, e, [
@@ -326,6 +329,10 @@ def candidates(line: str, above: int, facts: tuple, model: NameModel) -> list[Ca
     return out
 
 
+#: Scores from which on candidates of a kind count as alike.
+LIKELY = (1.0, 1.0, 1.0, 0.75, 0.9)
+
+
 class Finder:
     """Trained model: judges candidates, chooses among overlapping ones."""
 
@@ -348,8 +355,9 @@ class Finder:
     def choose(self, proposed: list[Candidate], scores: np.ndarray) -> list[tuple[int, int, int]]:
         """(kind, start, end) of the best spans above their thresholds that do not overlap, by position."""
         good = [i for i in range(len(proposed)) if scores[i] >= self.thresholds[proposed[i][0]]]
-        # Of spans judged alike the longer one is whole.
-        good.sort(key=lambda i: (-round(float(scores[i]), 3), proposed[i][1] - proposed[i][2], proposed[i][1]))
+        # Of spans that are all likely the longer one is whole; words inside an address are part of it.
+        rank = lambda i: min(float(scores[i]), LIKELY[proposed[i][0]]) + (proposed[i][0] == 3)
+        good.sort(key=lambda i: (-rank(i), proposed[i][1] - proposed[i][2], proposed[i][1]))
         taken: list[tuple[int, int, int]] = []
         for i in good:
             kind, a, b, _ = proposed[i]
@@ -463,9 +471,9 @@ def train(labelled: list[tuple[str, list[tuple[str, int]]]], held: list[tuple[st
         p, y = t.predict(np.array([f for f, _ in tests], np.float64)), np.array([y for _, y in tests])
         grid = np.linspace(0.05, 0.95, 37)
         f1 = [2 * (y[p >= g].sum()) / max((p >= g).sum() + y.sum() + missed[k], 1) for g in grid]
-        best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-6)
+        # What is missed stays readable, so of thresholds that do about as well the lowest is taken.
         trees.append(t)
-        thresholds.append(float(grid[best[len(best) // 2]]))
+        thresholds.append(float(grid[np.flatnonzero(np.array(f1) >= max(f1) - 0.003)[0]]))
     return Finder(model, trees, thresholds)
 
 
