@@ -117,7 +117,26 @@ WITH rec AS (
   FROM document_records WHERE document_id IS NOT NULL AND user_id IS NOT NULL GROUP BY document_id, user_id)
 """
 
+# Classes of records by equal vector or exact hash: nodes are both kinds of hashes of an owner, a record joins its two.
+_CLASSES = (
+    _PAIRS.replace("WITH rec", "WITH RECURSIVE rec")
+    + """,
+two AS (SELECT DISTINCT u || ':' || printf('%016x', v) AS x, u || ':' || e AS y FROM rec WHERE v IS NOT NULL AND e IS NOT NULL),
+edges AS (SELECT x AS a, y AS b FROM two UNION SELECT y, x FROM two),
+reach AS (SELECT a AS id, a AS other FROM edges UNION SELECT reach.id, edges.b FROM reach JOIN edges ON edges.a = reach.other),
+names AS (SELECT id, coalesce(min(CASE WHEN length(split_part(other, ':', 2)) = 16 THEN other END), min(other)) AS c FROM reach GROUP BY id),
+own AS (SELECT d, u, coalesce(u || ':' || printf('%016x', v), u || ':' || e, u || ':' || d) AS id FROM rec),
+classed AS (SELECT d, u, coalesce(names.c, own.id) AS c FROM own LEFT JOIN names ON names.id = own.id),
+vecs AS (SELECT u, v, max(b) AS b FROM rec WHERE v IS NOT NULL GROUP BY u, v),
+ends AS (SELECT coalesce(n.c, x.u || ':' || printf('%016x', x.v)) AS a, coalesce(m.c, y.u || ':' || printf('%016x', y.v)) AS b
+  FROM vecs x JOIN vecs y ON x.u = y.u AND x.v <> y.v AND (x.b >= 1 OR y.b >= 1) AND bit_count(xor(x.v, y.v)) <= 8
+  LEFT JOIN names n ON n.id = x.u || ':' || printf('%016x', x.v) LEFT JOIN names m ON m.id = y.u || ':' || printf('%016x', y.v)),
+degree AS (SELECT a, count(DISTINCT b) AS n FROM ends WHERE a <> b GROUP BY a)
+SELECT d AS document_id, u AS user_id, c AS class_id, coalesce(n, 0) AS n_links FROM classed LEFT JOIN degree ON degree.a = classed.c"""
+)
+
 SQL: dict[str, str] = {
+    "p6_classes": _CLASSES,
     "p7_roundtrip": "SELECT doc_id, true AS same FROM documents",
     "p2_found": _GROUPS + "SELECT id AS document_id, group_id FROM found",
     "p2_groups": _GROUPS + "SELECT ids.id AS document_id, coalesce(found.group_id, ids.id) AS group_id FROM ids LEFT JOIN found ON found.id = ids.id",

@@ -23,7 +23,7 @@ def brute(rows):
     for k in recs:
         mine = [recs[m] for m in recs if root(m) == root(k)]
         vs = [v for v, _, _ in mine if v is not None]
-        name[k] = f"{min(vs):016x}" if vs else mine[0][1]
+        name[k] = k[1] + ":" + (f"{min(vs):016x}" if vs else mine[0][1] or k[0])
     for k, (v, _, b) in recs.items():
         for m, (w, _, c) in recs.items():
             if k[1] == m[1] and None not in (v, w) and (b or c) and (v ^ w).bit_count() <= 8 and name[k] != name[m]:
@@ -44,8 +44,8 @@ def test_an_exact_hash_joins_records_without_a_vector(spark):
         ("a", "u", 0, e, "0" * 16, ""), ("b", "u", 1, e.upper(), None, ""), ("c", "u", 1, e, "f" * 16, ""), ("d", "u", 1, None, "f" * 15 + "e", ""), ("g", "u", 1, None, "f" * 16, ""),
         ("h", "u", 1, f, "n/a", ""), ("i", "u", 0, f, None, ""), ("j", "v", 1, e, None, ""), ("k", "v", 1, None, None, ""),
     ]
-    zero = ("0" * 16, 1)
-    assert classes(spark, rows) == {"a": zero, "b": zero, "c": zero, "g": zero, "d": ("f" * 15 + "e", 1), "h": (f, 0), "i": (f, 0), "j": (e, 0), "k": (None, 0)}
+    zero = ("u:" + "0" * 16, 1)
+    assert classes(spark, rows) == {"a": zero, "b": zero, "c": zero, "g": zero, "d": ("u:" + "f" * 15 + "e", 1), "h": ("u:" + f, 0), "i": ("u:" + f, 0), "j": ("v:" + e, 0), "k": ("v:k", 0)}
 
 
 def test_classes_equal_brute_force(spark):

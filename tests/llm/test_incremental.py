@@ -37,21 +37,42 @@ def test_pairs_equal_brute_force(spark):
     assert {tuple(r) for r in got} == brute(rows) and len(got) == len(brute(rows))
 
 
-def test_a_large_owner_is_spread_over_parts(spark):
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, KIND).select("user_id", incremental.vector(incremental.F.col("perceptual_hash")).alias("vec"))
+
+
+def test_a_large_owner_is_spread_over_parts(spark, tmp_path):
     rows = [r for r in make(300, 4) if r[1]]
-    index = incremental.VectorIndex(Scratch(spark, "t"), part_rows=20)
-    df = spark.createDataFrame(rows, KIND).select("user_id", incremental.vector(incremental.F.col("perceptual_hash")).alias("vec"))
-    index.append(df)
-    index.append(df)
+    index = incremental.VectorIndex(spark, str(tmp_path / "index"), part_rows=20)
+    index.append(vectors(spark, rows), "1")
+    index.append(vectors(spark, rows), "2")
     vecs = {(u, int(p, 16)) for _, u, _, _, p, _ in rows if p and len(p) == 16}
-    want = {(u, a, b) for u, a in vecs for v, b in vecs if u == v and a != b and (a ^ b).bit_count() <= 8}
-    got = [(r.user_id, r.vec_q % 2**64, r.vec_x % 2**64) for r in index.probe(df).collect()]
-    assert set(got) == want and len(got) == len(want) and index.table().count() == len(vecs)
+    want = {(u, a, b) for u, a in vecs for v, b in vecs if u == v and (a ^ b).bit_count() <= 8}
+    got = [(r.user_id, r.vec_q % 2**64, r.vec_x % 2**64) for r in index.probe(vectors(spark, rows)).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_another_session_opens_the_index_and_reads_what_it_probes(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = [(f"{i}", f"owner{i % 40}", 0, None, f"{random.Random(i).getrandbits(64):016x}", "") for i in range(40_000)]
+    incremental.VectorIndex(spark, path).append(vectors(spark, rows), "history")
+    again = incremental.VectorIndex(spark.newSession(), path)
+    near = int(rows[7][4], 16) ^ 0b111
+    links = again.accept(vectors(spark, [("new", rows[7][1], 1, None, f"{near:016x}", "")]), "b1")
+    assert {(r.vec_a % 2**64, r.vec_b % 2**64, r.distance) for r in links.collect()} >= {tuple(sorted((near, int(rows[7][4], 16)), key=lambda v: v - 2**64 if v >> 63 else v)) + (3,)}
+    read, probes = again.probed(vectors(spark, [("new", rows[7][1], 1, None, f"{near:016x}", "")]))
+    run = read._jdf.queryExecution()
+    run.toRdd().count()
+    scan = run.executedPlan().collectLeaves().head()
+    assert "PartitionFilters: [((((t#" in scan.toString() or "PartitionFilters: [((t#" in scan.toString()
+    # Of the stored rows, the files of other cells and the pages of other owners are not read.
+    assert scan.metrics().get("numOutputRows").get().value() < again.table().count() / 4
+    assert read.count() < again.table().count() / 50 and probes.count() == 13
 
 
 def test_classes_and_empty(spark):
     rows = [("a", "u", 0, None, "0" * 16, ""), ("b", "u", 1, None, "0" * 16, ""), ("c", "u", 1, None, "0" * 15 + "1", ""), ("d", "u", 1, None, None, "")]
     members, links = incremental.near_records(spark.createDataFrame(rows, KIND), Scratch(spark, "t"))
     got = {r.document_id: (r.class_id, r.n_links) for r in incremental.record_classes(members, links).collect()}
-    assert got == {"a": ("0" * 16, 1), "b": ("0" * 16, 1), "c": ("0" * 15 + "1", 1), "d": (None, 0)}
+    assert got == {"a": ("u:" + "0" * 16, 1), "b": ("u:" + "0" * 16, 1), "c": ("u:" + "0" * 15 + "1", 1), "d": ("u:d", 0)}
     assert incremental.duplicate_pairs(*incremental.near_records(spark.createDataFrame([], KIND), Scratch(spark, "t"))).count() == 0
