@@ -1,8 +1,8 @@
 """Problem 3: printed times in mixed formats and zones to one instant in UTC.
 
 Everything is a Spark SQL expression: the text is cleaned, matched against a few date forms, rewritten into one
-delimited record and split once, so no Python runs per row. A missing zone is estimated from the owner's other
-rows and from the ingestion time.
+delimited record and split once, so no Python runs per row. A missing zone is estimated from the history of offsets
+that the owner's other rows show and from the ingestion time.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slipweave.operators.skew import lookup
+
 # Month names as printed, by month.
 MONTHS = {
     1: ["jan", "january", "januar", "มค", "มกราคม"],
@@ -37,6 +39,8 @@ ABBREVIATIONS = {
 #: How far a slip may lie after its arrival before the clock or the zone counts as wrong.
 TOLERANCE_US = 2 * 60 * 1_000_000
 BUDDHIST_AHEAD = 543
+#: Length of a step of an owner's history; evidence halves with each step between, and counts less under another locale.
+STEP_US, OTHER_LOCALE = 7 * 24 * 3600 * 1_000_000, 0.25
 
 _WIDE = "０１２３４５６７８９：／．－＋，（）"
 _NARROW = "0123456789:/.-+,()"
@@ -145,33 +149,56 @@ def in_zone(local_us: Column, zone: Column) -> Column:
     return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local_us), zone))
 
 
-def estimate_zones(df: DataFrame, owner: str, local_us: str, instant_us: str, arrived_us: str, candidates: DataFrame) -> DataFrame:
-    """One zone per owner with rows that lack one: (owner, est_zone).
+def _history(rows: DataFrame) -> DataFrame:
+    """(o, zones): per owner in need its candidate zones, each with the steps of time in which rows agree with it.
+
+    Rows are counted by step, locale, zone and offset before the shuffle, so an owner of very many rows is no hot task;
+    a history is as long as the owner's time and locales, not as its rows.
+    """
+    shown = rows.groupBy("o", "l", "step", "z", "off").agg(F.count("*").alias("n"), F.max("local").alias("at"))
+    zones = rows.where(F.col("z").isNotNull()).select("o", F.col("z").alias("zone")).distinct()
+    agrees = F.when(F.col("z").isNotNull(), F.col("z") == F.col("zone")).otherwise(in_zone(F.col("at"), F.col("zone")) == F.col("at") - F.col("off") * 60_000_000)
+    met = shown.join(zones, "o").groupBy("o", "zone", "l", "step").agg(F.sum(F.when(agrees, F.col("n")).otherwise(0)).alias("n")).where("n > 0")
+    each = met.groupBy("o", "zone").agg(F.collect_list(F.struct("step", "l", "n")).alias("steps"))
+    return each.groupBy("o").agg(F.collect_list(F.struct("zone", "steps")).alias("zones"))
+
+
+def estimate_zones(df: DataFrame) -> DataFrame:
+    """(k, est_zone) of every row without zone: the zone whose history of offsets the row and its neighbours violate least.
 
-    candidates has one column `zone`, a few hundred rows at most. A zone violates a row without zone when its
-    instant would lie after the arrival, and a row with a known instant when it gives another instant. The zone
-    with the fewest violations wins; ties go to the one whose instants lie nearest before arrival, then by name.
-    Rows are first reduced to owners in need, so the cross of rows with zones stays proportional to them; the sums
-    are combined before the shuffle, so an owner with very many rows is no hot task.
+    df has k, o (owner), l (locale), a (arrival), local and, where known, instant and z (zone by name). A zone that puts
+    the row after its arrival comes last; else the one with which most of the owner's rows agree, near in time and of the
+    same locale first; then the one nearest before arrival. Owners without any known zone take those of the locale, else of any. Work
+    is in proportion to the rows in need times the zones of their own owner.
     """
-    need = df.where(F.col(instant_us).isNull() & F.col(local_us).isNotNull()).select(owner).where(F.col(owner).isNotNull()).distinct()
-    rows = df.where(F.col(local_us).isNotNull()).select(owner, local_us, instant_us, arrived_us).join(need, owner, "left_semi")
-    zones = F.broadcast(candidates.agg(F.sort_array(F.collect_set("zone")).alias("_zones")))
-    rows = rows.join(zones).withColumn("zone", F.explode("_zones"))
-    guess = in_zone(F.col(local_us), F.col("zone"))
-    known = F.col(instant_us).isNotNull()
-    bad = F.when(known, guess != F.col(instant_us)).otherwise(guess > F.col(arrived_us) + TOLERANCE_US)
-    lag = F.when(~known & ~F.coalesce(bad, F.lit(False)), (F.col(arrived_us) - guess) / 1e6)
-    scored = rows.groupBy(owner, "zone").agg(F.sum(F.coalesce(bad, F.lit(False)).cast("long")).alias("bad"), F.avg(lag).alias("lag"))
-    best = F.min(F.struct("bad", F.coalesce("lag", F.lit(float("inf"))).alias("lag"), "zone"))
-    return scored.groupBy(owner).agg(best.alias("_b")).select(owner, F.col("_b.zone").alias("est_zone"), F.col("_b.bad").alias("est_violations"))
+    df = df.withColumn("step", F.floor(F.coalesce("a", "local") / STEP_US).cast("int"))
+    need = df.where(F.col("instant").isNull() & F.col("local").isNotNull()).select("k", "o", "l", "a", "local", "step")
+    owners = need.where(F.col("o").isNotNull()).select("o").distinct()
+    known = df.where(F.col("instant").isNotNull() & F.col("local").isNotNull()).select("o", "l", "step", "z", ((F.col("local") - F.col("instant")) / 60_000_000).cast("long").alias("off"), "local")
+    with_owner = lookup(need, _history(known.join(owners, "o", "left_semi")), ["o"])
+    # What owners without a known zone may take: the zones of their locale, else of any; each at most those that exist.
+    used = known.where(F.col("z").isNotNull()).groupBy("l", "z").agg(F.count("*").alias("n"))
+    zones = F.collect_list(F.struct(F.col("z").alias("zone"), F.array(F.struct(F.lit(0).alias("step"), "l", "n")).alias("steps")))
+    of_locale = used.groupBy("l").agg(zones.alias("common"))
+    of_any = used.groupBy("z").agg(F.sum("n").alias("n")).withColumn("l", F.lit("")).agg(zones.alias("any")).withColumn("_one", F.lit(1))
+    both = with_owner.join(of_locale, "l", "left").withColumn("_one", F.lit(1)).join(F.broadcast(of_any), "_one", "left")
+
+    def judged(z: Column) -> Column:
+        guess = in_zone(F.col("local"), z["zone"])
+        late = F.coalesce(guess > F.col("a") + TOLERANCE_US, F.lit(False))
+        near = lambda s: s["n"] * F.pow(F.lit(0.5), F.least(F.abs(s["step"] - F.col("step")), F.lit(12))) * F.when(s["l"].eqNullSafe(F.col("l")), 1.0).otherwise(OTHER_LOCALE)
+        weight = F.aggregate(z["steps"], F.lit(0.0), lambda acc, s: acc + near(s))
+        return F.struct(late.alias("late"), (-weight).alias("against"), F.when(late, guess - F.col("a")).otherwise(F.col("a") - guess).alias("lag"), z["zone"].alias("zone"))
+
+    best = F.array_min(F.transform(F.coalesce("zones", "common", "any"), judged))
+    return both.select("k", best["zone"].alias("est_zone"))
 
 
 def normalise_times(df: DataFrame, key: str, owner: str, value: str, zone: str, locale: str, arrived: str) -> DataFrame:
     """One row per key with a readable value: key, instant_us, zone_from (EPOCH, VALUE, DEVICE, ESTIMATED), zone_used.
 
     Rows repeated with one key count once (the earliest arrival is kept). Null, empty and impossible values have no
-    row. Without any zone the owner's zone is estimated; owners with nothing to estimate from keep a null instant.
+    row. Without any zone it is estimated from the owner's other rows; with nothing to estimate from the instant is null.
     Columns of df beyond those named are ignored, so clashing names do no harm; an empty table gives no rows.
     """
     spark = df.sparkSession
@@ -191,12 +218,15 @@ def normalise_times(df: DataFrame, key: str, owner: str, value: str, zone: str,
     ).withColumn("_from", F.when(F.col("_t_epoch_us").isNotNull(), "EPOCH").when(printed, "VALUE").when(device, "DEVICE").when(~F.col("_t_has_zone"), "ESTIMATED"))
     # Filters on parsed columns come after the aggregate: pushed below it they would repeat the whole parse.
     first = src.groupBy("_k").agg(
-        F.min(F.struct("_a", "_v", "_instant", "_from", "_t_local_us", "_z", "_o")).alias("r")
+        F.min(F.struct("_a", "_v", "_instant", "_from", "_t_local_us", "_z", "_l", "_o")).alias("r")
     ).select("_k", "r.*")
     first = first.where(F.coalesce("_instant", "_t_local_us").isNotNull() & F.col("_from").isNotNull())
-    candidates = df.select(F.col(zone).alias("zone")).where(F.col("zone").isin(sorted(known_zones(spark)))).distinct()
-    guessed = estimate_zones(first.where(F.col("_from") != "EPOCH"), "_o", "_t_local_us", "_instant", "_a", candidates)
-    out = first.join(guessed, "_o", "left")
+    seen = first.where(F.col("_from") != "EPOCH").select(
+        F.col("_k").alias("k"), F.col("_o").alias("o"), F.coalesce("_l", F.lit("")).alias("l"), F.col("_a").alias("a"), F.col("_t_local_us").alias("local"), F.col("_instant").alias("instant"),
+        F.when(F.col("_from") == "DEVICE", F.col("_z")).alias("z"),
+    )
+    guessed = estimate_zones(seen)
+    out = first.join(guessed.withColumnRenamed("k", "_k"), "_k", "left")
     est = F.when((F.col("_from") == "ESTIMATED") & F.col("est_zone").isNotNull(), in_zone(F.col("_t_local_us"), F.coalesce("est_zone", F.lit("UTC"))))
     return out.select(
         F.col("_k").alias(key),

@@ -496,5 +496,20 @@ def p3_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _times(spark, sf_dir)
 
 
+@query()
+def p3_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well zones are estimated: of a tenth of the reads with a known device zone it is hidden, and estimated.
+
+    One row: hidden reads, those whose estimated instant is the true one, and their share.
+    """
+    reads = read_table(spark, sf_dir, "slip_reads").withColumn("printed", F.col("date_time.value"))
+    hidden = F.pmod(F.xxhash64("read_id"), F.lit(10)) == 0
+    masked = reads.withColumn("device_zone", F.when(~hidden, F.col("device_zone")))
+    args = ("read_id", "user_id", "printed", "device_zone", "device_locale", "arrived_at")
+    true = timestamps.normalise_times(reads, *args).where("zone_from = 'DEVICE'").select("read_id", F.col("instant_us").alias("true_us"))
+    found = timestamps.normalise_times(masked, *args).where("zone_from = 'ESTIMATED'").join(true, "read_id")
+    return found.agg(F.count("*").alias("hidden"), F.count_if(F.col("instant_us") == F.col("true_us")).alias("recovered"), F.avg(F.coalesce(F.col("instant_us") == F.col("true_us"), F.lit(False)).cast("double")).alias("share"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_decision_uncapped(spark, sf_dir)

@@ -60,5 +60,24 @@ def test_missing_zone_is_estimated_from_the_owner(spark):
     assert (out[3].zone_from, out[3].zone_used) == ("ESTIMATED", NY)  # the nearest before arrival
 
 
+def test_zones_follow_the_history_of_an_owner(spark):
+    """A traveller: each row takes the zone used at that time, and rows printed with an offset are evidence too."""
+    rows, want, i = [], {}, 0
+    for month, zone, locale in ((1, "Asia/Tokyo", "en-GB"), (4, "Europe/Berlin", "en-GB"), (7, NY, "en-GB")):
+        for day in range(1, 21):
+            i += 1
+            hidden = day % 5 == 0
+            rows.append((i, "u", f"2024-0{month}-{day:02d} 10:00:00", None if hidden else zone, locale, datetime(2024, month, day, 20), ""))
+            if hidden:
+                want[i] = us(2024, month, day, 10, zone=zone)
+    rows.append((100, "v", "2024-05-01 10:00:00 +09:00", None, "ja-JP", datetime(2024, 5, 1, 2), ""))
+    rows.append((101, "v", "2024-05-01 10:00:00", "Asia/Tokyo", "ja-JP", datetime(2024, 5, 1, 2), ""))
+    rows.append((102, "v", "2024-05-02 10:00:00", NY, "en-US", datetime(2024, 5, 2, 15), ""))
+    rows.append((103, "v", "2024-05-02 12:00:00", "", "ja-JP", datetime(2024, 5, 2, 20), ""))
+    want[103] = us(2024, 5, 2, 3)
+    out = {r.read_id: r.instant_us for r in normalise_times(spark.createDataFrame(rows, SCHEMA), "read_id", "user_id", "v", "device_zone", "device_locale", "arrived_at").collect()}
+    assert {k: out[k] for k in want} == want
+
+
 def test_empty_table(spark):
     assert normalise_times(spark.createDataFrame([], SCHEMA), "read_id", "user_id", "v", "device_zone", "device_locale", "arrived_at").count() == 0
