@@ -4,20 +4,22 @@ A text is exploded to positioned code points; a broadcast table maps each code p
 look-alike letters replaced, blanks of any width made one blank and characters without width removed; combining marks
 are ordered by class behind their base; the text is rebuilt and recomposed. Texts of ASCII letters already have that
 form, except for control characters, and skip the explosion. Letter case, the number of blanks and the spelling stay.
+
+Look-alike letters of all scripts come from the Unicode table of confusable characters, which the ICU library on Spark's
+class path holds; letters of other scripts stand for the one Latin letter that looks the same.
 """
 
 from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of other scripts and the Latin letter that looks the same.
+# The commonest letters of other scripts and the Latin letter that looks the same; these go before the table.
 CYRILLIC = dict(zip("АВЕКМНОРСТХУЅІЈԚԜԌаеорсухѕіјһԁԛԝѵӏ", "ABEKMHOPCTXYSIJQWGaeopcyxsijhdqwvl", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρϲϳ", "ABEZHIKMNOPTYXovpcj", strict=True))
 OTHER = dict(zip("օսոհɡɑ", "ounhga", strict=True))
@@ -42,28 +44,57 @@ def _decompose(ch: str) -> str:
     return "".join(_decompose(chr(int(p, 16))) for p in parts if p[0] != "<")
 
 
-def map_code_point(ch: str) -> str:
+def latin_letter(ch: str, skeleton: str) -> str | None:
+    """The Latin letter that a letter stands for by its skeleton in the table of confusables; None if it is none.
+
+    Letters of one case stay in it: the table has one skeleton for I, l and 1. Small capitals and kra are small letters.
+    """
+    if len(skeleton) != 1 or ch == skeleton or ch.isascii() or not unicodedata.category(ch).startswith("L"):
+        return None
+    if not skeleton.isascii():
+        name = unicodedata.name(skeleton, "")
+        small = name.removeprefix("LATIN LETTER SMALL CAPITAL ")
+        return small.lower() if len(small) == 1 and small != name else "k" if name == "LATIN SMALL LETTER KRA" else None
+    if not skeleton.isalpha():
+        return None
+    return "I" if skeleton == "l" and ch.isupper() else skeleton
+
+
+def confusables(spark: SparkSession) -> dict[str, str]:
+    """Latin letter by look-alike letter, from the table of confusables of the ICU library."""
+    letters = [chr(cp) for cp in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(cp))[0] == "L" and not (0x2E80 <= cp <= 0xA4CF or 0xAC00 <= cp <= 0xD7FF) and not 0x17000 <= cp <= 0x18DFF and not 0x20000 <= cp <= 0x3FFFF]
+    letters = [c for c in letters if unicodedata.normalize("NFKD", c) == c]
+    checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+    skeletons = checker.getSkeleton("\n".join(letters)).split("\n")
+    found = {c: latin_letter(c, x) for c, x in zip(letters, skeletons, strict=True)}
+    return {c: x for c, x in found.items() if x}
+
+
+def map_code_point(ch: str, looks: dict[str, str] = LOOKALIKES) -> str:
     """What one code point becomes: nothing, a blank, or decomposed look-alikes."""
     cp, category = ord(ch), unicodedata.category(ch)
     if category in ("Zs", "Zl", "Zp") or ch in "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85":
         return BLANK
     if category in ("Cf", "Cc") or cp in _INVISIBLE_MARKS or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF:
         return ""
-    return "".join(LOOKALIKES.get(c, c) for c in _decompose(ch))
+    return "".join(looks.get(c, c) for c in _decompose(ch))
 
 
 def mark_class(ch: str) -> int:
     return THAI_CLASS.get(ch) or unicodedata.combining(ch)
 
 
-@cache
-def _rows() -> list[tuple[str, list[tuple[str, int]]]]:
+#: Rows of the mapping once made; they depend on nothing but the versions of Python and ICU.
+_MADE: list[list[tuple[str, list[tuple[str, int]]]]] = []
+
+
+def _rows(looks: dict[str, str]) -> list[tuple[str, list[tuple[str, int]]]]:
     rows = []
     for cp in range(sys.maxunicode + 1):
-        if 0xD800 <= cp <= 0xDFFF:
+        if 0xD800 <= cp <= 0xDFFF or 0x20000 <= cp <= 0x2F7FF or 0x30000 <= cp <= 0xDFFFF or cp >= 0xE0200:
             continue
         ch = chr(cp)
-        to = map_code_point(ch)
+        to = map_code_point(ch, looks)
         if to != ch or mark_class(ch):
             rows.append((ch, [(c, mark_class(c)) for c in to]))
     return rows
@@ -71,7 +102,9 @@ def _rows() -> list[tuple[str, list[tuple[str, int]]]]:
 
 def mapping(spark: SparkSession) -> DataFrame:
     """(ch, parts array<struct<c, k>>) for each code point that changes or is a mark; bounded by Unicode itself."""
-    return spark.createDataFrame(_rows(), "ch string, parts array<struct<c:string,k:int>>")
+    if not _MADE:
+        _MADE.append(_rows(confusables(spark) | LOOKALIKES))
+    return spark.createDataFrame(_MADE[0], "ch string, parts array<struct<c:string,k:int>>")
 
 
 @F.pandas_udf(T.StringType())

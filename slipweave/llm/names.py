@@ -3,8 +3,9 @@
 Names are brought to one form (problem 4), stripped of titles and legal forms and cut into tokens. A symmetric-delete
 index finds candidates: each name is filed under every one-character deletion of each of its tokens together with the
 first letter of another token, so two names meet if one token differs by at most one edit and the other keeps its
-initial. Candidates are compared by the optimal assignment of their tokens, which permits one imperfect token: an edit,
-a cut, an abbreviation, a nickname or an initial. An edit is believed unless both spellings are established tokens: the
+initial. Candidates are compared by the optimal assignment of their tokens: equal ones first, then those left, of which
+one may be imperfect (an edit, a cut, an abbreviation or an initial) or two may have an edit each. A person's middle
+names may be left out. An edit is believed unless both spellings are established tokens: the
 rarer one is used by several owners and not much rarer than the other, or the nickname reference has both. A cut is
 believed only while it is likelier than another party of that very name, judged by how often the token occurs in all
 names and by the number of the owner's names.
@@ -14,6 +15,7 @@ Links are closed to groups; a name with an initial joins a group only if no othe
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 
@@ -41,6 +43,10 @@ SPREAD, RIVAL = 3, 20
 RELATIVES = 0.2
 #: An abbreviation is so many times rarer than its word, and a misprint than the word it spoils.
 RARER, MISPRINT = 5, 100
+#: Letters of a token that may have an edit beside another token with one.
+LONG_TOKEN = 6
+#: Rows of one index key above which the rows of the key are spread over several tasks.
+HOT_KEY = 20_000
 #: Tokens of at least this share of all names are counted; at most (tokens a name) / LEAST_SHARE of them exist.
 LEAST_SHARE = 1e-5
 
@@ -159,8 +165,10 @@ class Matcher:
             return "s"
         if len(fa) > len(fb):
             fa, ia, fb, ib = fb, ib, fa, ia
-        if len(fa) == len(fb) and 2 <= len(fa) <= 6:
+        if len(fa) == len(fb) and len(fa) >= 2:
             return self._assign(fa, fb, names)
+        if 2 <= len(fa) < len(fb):
+            return self._dropped(fa, fb) if "o" not in (ka, kb) and not ia and not ib else ""
         if len(fa) == 1 and len(fb) == 1:
             if bool(ia) != bool(ib):
                 return ""
@@ -183,33 +191,56 @@ class Matcher:
             return "s" if any(one_edit(fa[0], j) for j in joined) and len(fa[0]) > 7 else ""
         return ""
 
+    def _dropped(self, fa: list[str], fb: list[str]) -> str:
+        """A person's name with middle names left out: first and last are the same, the others come in the same order."""
+        same = lambda x, y: self.relation(x, y)[0] in ("=", "n")
+        if not (same(fa[0], fb[0]) and same(fa[-1], fb[-1])):
+            return ""
+        rest = iter(fb[1:-1])
+        return "s" if all(any(same(x, y) for y in rest) for x in fa[1:-1]) else ""
+
     def _assign(self, fa: list[str], fb: list[str], names: int) -> str:
-        """Optimal assignment by dynamic programming over the used tokens of fb; at most one token may be imperfect.
+        """Optimal assignment of as many tokens to as many, whatever their number.
 
-        A nickname of the reference is as good as the name itself.
+        Equal tokens are paired first, which no better pairing can undo. Of those left all must be paired; a nickname of the
+        reference is as good as the name itself, one token may be imperfect, or two long ones may have an edit each.
         """
-        n = len(fa)
-        table = [[self.relation(x, y) for y in fb] for x in fa]
-        best: dict[int, tuple[int, tuple]] = {0: (0, ())}
-        for i in range(n):
-            step: dict[int, tuple[int, tuple]] = {}
-            for used, (cost, path) in best.items():
-                for j in range(n):
-                    kind = table[i][j][0]
-                    if not kind or used >> j & 1:
-                        continue
-                    now = (cost + (kind not in "=n"), (*path, j))
-                    if now[0] <= 1 and (used | 1 << j not in step or now < step[used | 1 << j]):
-                        step[used | 1 << j] = now
-            best = step
-        if (1 << n) - 1 not in best:
+        bare = lambda t: t.rstrip(".")
+        common = Counter(map(bare, fa)) & Counter(map(bare, fb))
+
+        def left(tokens: list[str]) -> list[str]:
+            have, out = Counter(common), []
+            for t in tokens:
+                if have[bare(t)] > 0:
+                    have[bare(t)] -= 1
+                else:
+                    out.append(t)
+            return out
+
+        ra, rb = left(fa), left(fb)
+        if not ra:
+            return "s"
+        table = [[self.relation(x, y) for y in rb] for x in ra]
+        best: tuple[int, tuple] = (3, ())
+        todo = [(0, ())]  # cost so far, partners of the first tokens
+        while todo:
+            cost, order = todo.pop()
+            if (cost, order) >= best:
+                continue
+            if len(order) == len(ra):
+                best = (cost, order)
+                continue
+            todo += [(cost + (kind not in "=n"), (*order, j)) for j, (kind, _) in enumerate(table[len(order)]) if kind and j not in order]
+        if best[0] > 2:
+            return ""
+        odd = [(ra[i], rb[j], *table[i][j]) for i, j in enumerate(best[1]) if table[i][j][0] not in "=n"]
+        if len(odd) == 2 and not all(kind == "e" and min(len(x), len(y)) >= LONG_TOKEN for x, y, kind, _ in odd):
             return ""
-        for i, j in enumerate(best[(1 << n) - 1][1]):
-            kind, rare = table[i][j]
-            if kind not in "=n":
-                others = [t for k, t in enumerate(fa) if k != i]
-                usual = max(fa[i].rstrip("."), fb[j].rstrip("."), key=self.share)
-                return "s" if self.likely(kind, rare, usual, min(others, key=self.share).rstrip("."), names) else ""
+        for x, _, kind, rare in odd:
+            others = [t for t in fa if t != x] or [x]
+            y = next(q for p, q, *_ in odd if p == x)
+            if not self.likely(kind, rare, max(bare(x), bare(y), key=self.share), bare(min(others, key=self.share)), names):
+                return ""
         return "s"
 
 
@@ -255,7 +286,8 @@ def link_names(names: DataFrame, nicknames: DataFrame, scratch: Scratch) -> Data
     """
     spark: SparkSession = names.sparkSession
     base = names.select("user_id", "form").where(F.col("user_id").isNotNull() & F.col("form").isNotNull()).distinct()
-    base = base.withColumn("id", F.xxhash64("user_id", "form"))
+    # Numbers are given once and stored, so no two names share one.
+    base = scratch.write(base.withColumn("id", F.monotonically_increasing_id()), "ids")
     parsed = scratch.write(base.mapInPandas(_parse_batches, _PARSED), "parsed")
     total = parsed.count()
     given: dict[str, set[str]] = {}
@@ -280,7 +312,7 @@ def link_names(names: DataFrame, nicknames: DataFrame, scratch: Scratch) -> Data
 
     filed = parsed.select("user_id", "id", "full", "initials", "branch", "kind").mapInPandas(index, "user_id string, id long, k array<string>")
     filed = scratch.write(filed.select("id", F.explode("k").alias("k"), "user_id").select("id", F.xxhash64("user_id", "k").alias("k")), "keys")
-    pairs = filed.withColumnRenamed("id", "id_a").join(filed.withColumnRenamed("id", "id_b"), "k").where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b").distinct()
+    pairs = _meetings(filed).distinct()
     sizes = parsed.groupBy("user_id").agg(F.count("*").alias("names"))
     payload = parsed.select("id", "user_id", "full", "initials", "branch", "kind")
     side = lambda x: payload.select(*[F.col(c).alias(c + x) for c in payload.columns])
@@ -304,6 +336,16 @@ def link_names(names: DataFrame, nicknames: DataFrame, scratch: Scratch) -> Data
     return party.join(only, "g", "left").select("user_id", "form", F.coalesce("to", "g").alias("party"))
 
 
+def _meetings(filed: DataFrame) -> DataFrame:
+    """(id_a, id_b) of the names filed under one key. The rows of a key of many names are spread: each meets all others in
+    one of several tasks, so none is dropped and no task holds all pairs."""
+    hot = filed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).select("k", F.ceil(F.col("n") / HOT_KEY).cast("int").alias("parts"))
+    marked = filed.join(hot, "k", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = marked.select("k", F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    b = marked.select("k", F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["k", "part"]).where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
+
+
 def slip_names(reads: DataFrame) -> DataFrame:
     """(user_id, value, form) of receiver and sender names together; null values are left out."""
     field = lambda f: reads.select("user_id", F.col(f)["value"].alias("value"))

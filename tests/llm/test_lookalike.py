@@ -29,6 +29,16 @@ def test_a_form_is_its_own_form(spark):
     assert all(k == v for k, v in again.items())
 
 
+# Letters of many scripts, each with the Latin letter it is read as.
+LETTERS = [("α", "a"), ("ι", "i"), ("κ", "k"), ("τ", "t"), ("υ", "u"), ("γ", "y"), ("к", "k"), ("т", "t"), ("ү", "y"), ("ı", "i"), ("ᴏ", "o"), ("Ꭺ", "A"), ("Ꭼ", "E"), ("ꓐ", "B"), ("ꓢ", "S"), ("Ⲟ", "O"), ("𐐄", "O"), ("І", "I"), ("ӏ", "l")]
+
+
+def test_letters_of_many_scripts(spark):
+    f = forms(spark, [f"{a}x" for a, _ in LETTERS] + ["ดต", "ขฃ", "口ロ", "Øł"])
+    assert {a: f[f"{a}x"] for a, _ in LETTERS} == {a: f"{b}x" for a, b in LETTERS}
+    assert all(f[x] == x for x in ("ดต", "ขฃ", "口ロ", "Øł"))  # letters of one script are never made one
+
+
 def test_nulls_empty_long_and_repeated(spark):
     long = "น้ํา" * 4000
     f = forms(spark, [None, "", " ", "​", long, long, "\ta"])
