@@ -109,9 +109,9 @@ def clean_text(text: Column) -> Column:
     """One line end, no characters without width, no blanks between spaced-out Thai letters."""
     t = F.regexp_replace(F.regexp_replace(text, "\\r", "\n"), "[\\u200b-\\u200d\\ufeff]", "")
     t = F.regexp_replace(t, "\\n{3,}", "\n\n")
-    spaced = f"[{THAI}][{WS}]+[{THAI}][{WS}]+[{THAI}]"
+    spaced = f"[{THAI}][{WS}][{THAI}][{WS}][{THAI}]"  # as readers of fragmented text print it
     t = F.when(t.rlike(spaced), F.regexp_replace(t, f"(?<=[{THAI}])[{WS}]+(?=[{THAI}])", "")).otherwise(t)
-    return F.regexp_replace(t, "\\u0e4d\\u0e32", "ำ")
+    return F.regexp_replace(t, "\\u0e4d ?\\u0e32", "ำ")
 
 
 def _take(text: Column, rule: Rule) -> Column:

@@ -60,7 +60,11 @@ def thai_name_key(c: Column) -> Column:
 
 def compare_names(a: Column, b: Column) -> Column:
     """EXACT, CLOSE (one is a beginning of the other, four characters at least), DIFFERENT or INSUFFICIENT."""
-    x, y = thai_name_key(a), thai_name_key(b)
+    return compare_keys(thai_name_key(a), thai_name_key(b))
+
+
+def compare_keys(x: Column, y: Column) -> Column:
+    """compare_names of names in their comparable form."""
     shorter, longer = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
     return (
         F.when((x == "") | (y == ""), "INSUFFICIENT").when(x == y, "EXACT").when((F.length(shorter) >= 4) & F.startswith(longer, shorter), "CLOSE").otherwise("DIFFERENT")

@@ -12,14 +12,65 @@ from slipweave.functions.labels import REASONS
 CODES = {v: k for k, v in REASONS.items()}
 
 
-def _level(field: Column, *levels: str) -> Column:
-    return F.coalesce(field["value"].isNotNull() & field["confidence"].isin(*levels), F.lit(False))
+#: Forms in which fields are compared, made once a document.
+FORMS = {
+    "amount": text.amount_key, "transaction_reference": text.reference_key, "receiver_name": text.thai_name_key, "sender_name": text.thai_name_key, "date_time": text.date_time_key, "receiver_bank": text.basic,
+}
+# Texts of conflicts by field.
+PAYLOADS = {"qr_text": ("identical QR payload", "different raw QR payload"), "payload": ("identical transfer metadata payload", "different transfer metadata payload")}
+PARTS = {"qr_amount": "different amount", "qr_target": "different recipient", "qr_reference": "different transaction reference"}
+STRONG = {"amount": "image-read different amount", "transaction_reference": "image-read different transaction reference"}
+OTHERS = {
+    "receiver_name": "image-read different recipient", "sender_name": "image-read different sender", "date_time": "image-read different date/time", "receiver_bank": "image-read different receiver bank",
+}
+
+
+def keyed(field: str, column: Column) -> Column:
+    """What is compared of a field: a text (null if blank), or struct<key, level> with level 2 HIGH, 1 MEDIUM, 0 no evidence."""
+    if field not in FORMS:
+        return F.when(text.non_empty(column), column)
+    level = F.when(column["value"].isNull(), 0).when(column["confidence"] == "HIGH", 2).when(column["confidence"] == "MEDIUM", 1).otherwise(0)
+    return F.struct(FORMS[field](column["value"]).alias("key"), F.coalesce(level, F.lit(0)).alias("level"))
 
 
 def _conflict(name: str, when: Column) -> Column:
     return F.when(F.coalesce(when, F.lit(False)), F.lit(name))
 
 
+def _unlike(field: str, x: Column, y: Column) -> Column:
+    return text.compare_keys(x, y) == "DIFFERENT" if field in ("receiver_name", "sender_name") else x != y
+
+
+def judge(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """struct<result, conflicts, reasons> of two documents by their keyed fields; see assess."""
+    have = lambda k: k in a and k in b
+    matches = [F.when(a[k] == b[k], F.lit(same)) for k, (same, _) in PAYLOADS.items() if have(k)]
+    conflicts = [_conflict(differ, a[k] != b[k]) for k, (_, differ) in PAYLOADS.items() if have(k)] + [_conflict(differ, a[k] != b[k]) for k, differ in PARTS.items() if have(k)]
+    both = lambda k, level: (a[k]["level"] >= level) & (b[k]["level"] >= level)
+    firm = [_conflict(differ, both(k, 1) & (a[k]["key"] != b[k]["key"])) for k, differ in STRONG.items() if have(k)]
+    firm += [_conflict(differ, both(k, 2) & _unlike(k, a[k]["key"], b[k]["key"])) for k, differ in OTHERS.items() if have(k)]
+    # Two medium readings tell less: they count only where something else differs too.
+    soft = [_conflict(differ, (a[k]["level"] == 1) & (b[k]["level"] == 1) & _unlike(k, a[k]["key"], b[k]["key"])) for k, differ in OTHERS.items() if have(k)]
+    array = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast("array<string>")
+    code = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])
+    # One struct of the three lists first, so that none of them is made again by each use.
+    found = F.struct(array(matches).alias("supports"), array(conflicts).alias("plain"), array(firm).alias("firm"), array(soft).alias("soft"))
+
+    def told(f: Column) -> Column:
+        counted = (F.size(f["soft"]) >= 2) | ((F.size(f["soft"]) >= 1) & (F.size(f["firm"]) > 0))
+        against = F.concat(f["plain"], f["firm"], F.when(counted, f["soft"]).otherwise(F.array().cast("array<string>")))
+        return F.struct(f["supports"].alias("supports"), against.alias("against"))
+
+    def result(t: Column) -> Column:
+        supports, against = F.size(t["supports"]) > 0, F.size(t["against"]) > 0
+        named = F.transform(F.when(supports, t["supports"]).otherwise(t["against"]), lambda x: code[x])
+        return F.struct(
+            F.when(supports, "MATCH").when(against, "CONFLICT").otherwise("INSUFFICIENT_EVIDENCE").alias("result"), t["against"].alias("conflicts"), F.when(supports | against, named).otherwise(F.array(F.lit("IMAGE_SIMILARITY_ONLY"))).alias("reasons")
+        )
+
+    return F.transform(F.transform(F.array(found), told), result)[0]
+
+
 def assess(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """struct<result, conflicts, reasons> of two documents.
 
@@ -27,53 +78,24 @@ def assess(a: dict[str, Column], b: dict[str, Column]) -> Column:
     transaction_reference, receiver_name, sender_name, date_time, receiver_bank; a missing one is no evidence. Equal QR
     texts or payloads are a MATCH whatever else differs; any conflict is a CONFLICT; else INSUFFICIENT_EVIDENCE.
     """
-    have = lambda k: k in a and k in b
-    both = lambda k: text.non_empty(a[k]) & text.non_empty(b[k])
-    matches, conflicts = [], []
-    for key, same, differ in (("qr_text", "identical QR payload", "different raw QR payload"), ("payload", "identical transfer metadata payload", "different transfer metadata payload")):
-        if have(key):
-            matches.append(F.when(both(key) & (a[key] == b[key]), F.lit(same)))
-            conflicts.append(_conflict(differ, both(key) & (a[key] != b[key])))
-    for key, differ in (("qr_amount", "different amount"), ("qr_target", "different recipient"), ("qr_reference", "different transaction reference")):
-        if have(key):
-            conflicts.append(_conflict(differ, both(key) & (a[key] != b[key])))
-    strong, direct, contributing = [], [], []
-    for key, differ, form in (("amount", "image-read different amount", text.amount_key), ("transaction_reference", "image-read different transaction reference", text.reference_key)):
-        if have(key):
-            trusted = _level(a[key], "HIGH", "MEDIUM") & _level(b[key], "HIGH", "MEDIUM")
-            strong.append(_conflict(differ, trusted & (form(a[key]["value"]) != form(b[key]["value"]))))
-    names = lambda x, y: text.compare_names(x, y) == "DIFFERENT"
-    for key, differ, unlike in (
-        ("receiver_name", "image-read different recipient", names), ("sender_name", "image-read different sender", names),
-        ("date_time", "image-read different date/time", lambda x, y: text.date_time_key(x) != text.date_time_key(y)),
-        ("receiver_bank", "image-read different receiver bank", lambda x, y: text.basic(x) != text.basic(y)),
-    ):
-        if have(key):
-            other = unlike(a[key]["value"], b[key]["value"])
-            direct.append(_conflict(differ, _level(a[key], "HIGH") & _level(b[key], "HIGH") & other))
-            contributing.append(_conflict(differ, _level(a[key], "MEDIUM") & _level(b[key], "MEDIUM") & other))
-    array = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast("array<string>")
-    firm, soft = array(strong + direct), array(contributing)
-    counted = (F.size(soft) >= 2) | ((F.size(soft) >= 1) & (F.size(firm) > 0))
-    against = F.concat(array(conflicts), firm, F.when(counted, soft).otherwise(F.array().cast("array<string>")))
-    supports = array(matches)
-    code = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])
-    codes = lambda xs: F.transform(xs, lambda x: code[x])
-    result = F.when(F.size(supports) > 0, "MATCH").when(F.size(against) > 0, "CONFLICT").otherwise("INSUFFICIENT_EVIDENCE")
-    reasons = F.when(F.size(supports) > 0, codes(supports)).when(F.size(against) > 0, codes(against)).otherwise(F.array(F.lit("IMAGE_SIMILARITY_ONLY")))
-    return F.struct(result.alias("result"), against.alias("conflicts"), reasons.alias("reasons"))
+    return judge({k: keyed(k, c) for k, c in a.items()}, {k: keyed(k, c) for k, c in b.items()})
 
 
 def resolve(pairs: DataFrame, evidence: DataFrame, fields: list[str]) -> DataFrame:
     """One row per record with candidates: the nearest one that no evidence contradicts, else the nearest as suppressed.
 
-    evidence has document_id, document_type and the named structs, one row per document. Evidence counts only for bank
-    transfer slips; a record without any keeps its nearest candidate. One minimum per record gives both answers.
+    evidence has document_id, document_type and the named fields, one row per document, and may have has_evidence: only
+    bank transfer slips of which something was read or parsed are judged; any other record keeps its nearest candidate.
+    Fields are brought to their compared form once a document. One minimum per record gives both answers.
     """
-    side = lambda x: evidence.select(F.col("document_id").alias(f"_{x}"), F.col("document_type").alias(f"_{x}_type"), *[F.col(f).alias(f"_{x}_{f}") for f in fields])
+    gate = F.col("document_type") == "BANK_TRANSFER_SLIP"
+    if "has_evidence" in evidence.columns:
+        gate = gate & F.coalesce("has_evidence", F.lit(False))
+    keys = evidence.select("document_id", F.coalesce(gate, F.lit(False)).alias("judged"), *[keyed(f, F.col(f)).alias(f) for f in fields])
+    side = lambda x: keys.select(F.col("document_id").alias(f"_{x}"), F.col("judged").alias(f"_{x}_judged"), *[F.col(f).alias(f"_{x}_{f}") for f in fields])
     joined = pairs.join(side("a"), F.col("document_id") == F.col("_a"), "left").join(side("b"), F.col("candidate_id") == F.col("_b"), "left")
-    found = assess({f: F.col(f"_a_{f}") for f in fields}, {f: F.col(f"_b_{f}") for f in fields})
-    judged = joined.withColumn("_e", F.when(F.col("_a_type") == "BANK_TRANSFER_SLIP", found))
+    found = judge({f: F.col(f"_a_{f}") for f in fields}, {f: F.col(f"_b_{f}") for f in fields})
+    judged = joined.withColumn("_e", F.when(F.col("_a_judged"), found))
     against = F.coalesce(F.col("_e.result") == "CONFLICT", F.lit(False))
     best = judged.groupBy("document_id", "user_id").agg(F.min(F.struct(against.alias("against"), "distance", "candidate_created", "candidate_id", F.col("_e.reasons").alias("reasons"))).alias("b"))
     return best.select(

@@ -17,8 +17,13 @@ from slipweave.operators.skew import lookup
 CANDIDATE_LIMIT = 200
 
 
-def latest_versions(records: DataFrame, key: str = "document_id", by: str = "updated_at") -> DataFrame:
-    """One row per key: the version updated last (ties: the largest row). Rows without a key are left out."""
+def latest_versions(records: DataFrame, key: str = "document_id", by: str = "updated_at", columns: list[str] | None = None) -> DataFrame:
+    """One row per key: the version updated last (ties: the largest row). Rows without a key are left out.
+
+    columns names those wanted besides the key: no other one is read, moved or compared.
+    """
+    if columns is not None:
+        records = records.select(key, by, *(c for c in columns if c not in (key, by)))
     order = [by, *(c for c in records.columns if c not in (by, key))]
     best = records.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*order)).alias("_v"))
     return best.select(key, *[F.col("_v")[c].alias(c) for c in order]).select(*records.columns)

@@ -111,14 +111,26 @@ def export_lines(df: DataFrame) -> DataFrame:
 
 
 def write_csv(lines: DataFrame, path: str) -> None:
-    """Header and lines with CRLF ends. The header goes into every part, as parts are read by themselves."""
-    body = lines.select(F.col("line").alias("value"))
-    header = ",".join(EXPORT_HEADER)
+    """One table of several parts with CRLF ends: the first part is the header alone, the lines follow; no line leaves the JVM."""
+    header = lines.sparkSession.createDataFrame([(",".join(EXPORT_HEADER),)], "value string").coalesce(1)
+    # Parts of a union keep their order, and files are named by part.
+    header.unionByName(lines.select(F.col("line").alias("value"))).write.option("lineSep", "\r\n").text(path)
 
-    def with_header(batches):
-        import pandas as pd
 
-        yield pd.DataFrame({"value": [header]})
-        yield from batches
+OBJECT_ID = "^[0-9a-fA-F]{24}\\z"
 
-    body.mapInPandas(with_header, "value string").write.option("lineSep", "\r\n").text(path)
+
+def record_of(registry: DataFrame, document_id: str, owner: str) -> DataFrame:
+    """The record of an owner; no row for another owner's record or for a text that is no id."""
+    return owned(registry, owner).where((F.col("document_id") == document_id) & F.lit(document_id).rlike(OBJECT_ID))
+
+
+def pair_of(pairs: DataFrame, owner: str, one: str, other: str) -> DataFrame:
+    """What an owner decided about two records, named in either order."""
+    low, high = F.least("document_a_id", "document_b_id"), F.greatest("document_a_id", "document_b_id")
+    return owned(pairs, owner).where((low == min(one, other)) & (high == max(one, other)))
+
+
+def distinct_in_order(ids: Column) -> Column:
+    """Trimmed ids that are not blank, each once, in the order in which they came first."""
+    return F.array_distinct(F.filter(F.transform(ids, text.trim), lambda x: F.coalesce(F.length(x) > 0, F.lit(False))))

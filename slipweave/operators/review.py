@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slipweave.functions import text
+from slipweave.operators.skew import lookup
+
 HISTORY_LIMIT, MAX_HISTORY = 5, 20
 
 
@@ -43,3 +46,66 @@ def correct_type(registry: DataFrame, corrections: DataFrame, cleared: list[str]
     joined = registry.join(new, "document_id", "left")
     changed = F.coalesce(F.col("_type") != F.col("document_type"), F.lit(False))
     return joined.withColumns({"document_type": F.when(changed, F.col("_type")).otherwise(F.col("document_type")), **{c: F.when(~changed, F.col(c)) for c in cleared}}).select(*registry.columns)
+
+
+def judged_requests(registry: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests with status: updated, skipped (not a pending likely duplicate, or its match is gone) or not_found.
+
+    requests has user_id, document_id, decision and may have note and reviewed_at, one row per document; records of
+    another owner are not found. matched_document_id and similarity_score of the record come along.
+    """
+    own = registry.select("document_id", "user_id", "matched_document_id", "duplicate_status", "review_status", "similarity_score")
+    found = lookup(requests, own.withColumn("_here", F.lit(True)), ["document_id", "user_id"])
+    matched = registry.select("user_id", F.col("document_id").alias("matched_document_id"), F.lit(True).alias("_there"))
+    joined = lookup(found, matched, ["user_id", "matched_document_id"])
+    open_ = (F.col("duplicate_status") == "LIKELY_DUPLICATE") & (F.col("review_status") == "PENDING") & F.col("_there")
+    status = F.when(F.col("_here").isNull(), "not_found").when(F.coalesce(open_, F.lit(False)), "updated").otherwise("skipped")
+    return joined.withColumn("status", status).drop("_here", "_there", "review_status")
+
+
+def outcome_counts(judged: DataFrame) -> DataFrame:
+    """requested, updated, skipped and not_found per owner."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return judged.groupBy("user_id").agg(F.count("*").alias("requested"), n("updated"), n("skipped"), n("not_found"))
+
+
+def changes(judged: DataFrame) -> DataFrame:
+    """What the updated requests set (see apply_changes): review_status, reviewed_at, reviewed_match_id."""
+    at = F.col("reviewed_at") if "reviewed_at" in judged.columns else F.current_timestamp().alias("reviewed_at")
+    return judged.where("status = 'updated'").select("document_id", "user_id", F.col("decision").alias("review_status"), at, F.col("matched_document_id").alias("reviewed_match_id"))
+
+
+def audit_rows(judged: DataFrame, batch_id: str | None = None) -> DataFrame:
+    """One audit row per updated request, with what was decided in its metadata."""
+    said = text.note(F.col("note")) if "note" in judged.columns else F.lit(None).cast("string")
+    told = F.to_json(
+        F.struct(
+            F.col("matched_document_id").alias("matchedDocumentId"), F.col("duplicate_status").alias("machineDuplicateStatus"), F.col("similarity_score").alias("similarityScore"), F.col("decision").alias("reviewDecision"),
+            said.alias("reviewNote"), F.col("user_id").alias("reviewedByUserId"), F.lit(batch_id).cast("string").alias("bulkReviewBatchId"),
+        )
+    )
+    at = F.col("reviewed_at") if "reviewed_at" in judged.columns else F.current_timestamp()
+    return judged.where("status = 'updated'").select(
+        "user_id", F.concat(F.lit("DOCUMENT_REVIEW_"), "decision").alias("action"), F.lit("document").alias("target_type"), F.col("document_id").alias("target_id"), told.alias("metadata"), at.alias("created_at")
+    )
+
+
+_SAID = "struct<reviewDecision:string,reviewNote:string,reviewedByUserId:string,matchedDocumentId:string,bulkReviewBatchId:string>"
+
+
+def history_of_audit(logs: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
+    """The latest reviews of each document from the audit log, newest first, with their place.
+
+    The decision of the metadata stands before the one the action names, the reviewer of the metadata before the row's
+    user; missing or broken metadata give nulls. Repeated rows count once.
+    """
+    limit = min(max(limit, 1), MAX_HISTORY)
+    decisions = ["CONFIRMED_DUPLICATE", "CONFIRMED_DISTINCT"]
+    mine = logs.where((F.col("target_type") == "document") & F.col("target_id").isNotNull() & F.col("action").isin([f"DOCUMENT_REVIEW_{d}" for d in decisions]))
+    once = mine.select("audit_id", "user_id", "action", "target_id", "metadata", "created_at").distinct().withColumn("_m", F.from_json("metadata", _SAID))
+    w = Window.partitionBy("user_id", "target_id").orderBy(F.col("created_at").desc_nulls_last(), F.col("audit_id").desc())
+    decision = F.when(F.col("_m.reviewDecision").isin(decisions), F.col("_m.reviewDecision")).otherwise(F.replace("action", F.lit("DOCUMENT_REVIEW_"), F.lit("")))
+    return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select(
+        "audit_id", F.col("target_id").alias("document_id"), decision.alias("decision"), F.col("created_at").alias("reviewed_at"), text.note(F.col("_m.reviewNote")).alias("note"),
+        F.coalesce("_m.reviewedByUserId", "user_id").alias("actor_user_id"), F.col("_m.matchedDocumentId").alias("matched_document_id"), F.col("_m.bulkReviewBatchId").alias("bulk_review_batch_id"), "place",
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slipweave.functions import hashing, labels, qr, quality, slips, text
-from slipweave.operators import assess, dedup, registry, review, timestamps
+from slipweave.operators import assess, dedup, intake, registry, review, timestamps
 from slipweave.sources import files
 from slipweave.sources.tables import read_table
 
@@ -29,8 +29,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.latest_versions(read_table(spark, sf_dir, "document_records"))
+def _registry(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The registry, or of it only the id and the named columns."""
+    return dedup.latest_versions(read_table(spark, sf_dir, "document_records"), columns=list(columns) or None)
+
+
+_HASHES = ("user_id", "created_at", "exact_hash", "perceptual_hash")
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +84,7 @@ best AS (SELECT document_id, user_id, candidate_id AS matched_id, distance FROM
 
 @query(f"WITH {_PAIRS}{_EXACT} SELECT document_id, user_id, matched_id FROM exact")
 def exact_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.exact_first_seen(_registry(spark, sf_dir))
+    return dedup.exact_first_seen(_registry(spark, sf_dir, "user_id", "created_at", "exact_hash"))
 
 
 _BEST = "SELECT document_id, user_id, matched_id, distance::INTEGER AS distance, round(1 - distance / 64.0, 4)::DOUBLE AS similarity FROM best"
@@ -88,23 +92,23 @@ _BEST = "SELECT document_id, user_id, matched_id, distance::INTEGER AS distance,
 
 @query(f"WITH {_PAIRS}{_EXACT} {_BEST}")
 def near_dup_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.best_match(dedup.near_pairs(_registry(spark, sf_dir), dedup.CANDIDATE_LIMIT))
+    return dedup.best_match(dedup.near_pairs(_registry(spark, sf_dir, *_HASHES), dedup.CANDIDATE_LIMIT))
 
 
 @query(f"WITH {_ALL_PAIRS}{_EXACT} {_BEST}")
 def near_dup_best_match_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.best_match(dedup.near_pairs(_registry(spark, sf_dir)))
+    return dedup.best_match(dedup.near_pairs(_registry(spark, sf_dir, *_HASHES)))
 
 
 @query(f"""WITH {_HASHED} SELECT p.document_id, count(*) AS n_candidates, min(bit_count(xor(p.bits, c.bits)))::INTEGER AS nearest
 FROM hashed p JOIN hashed c ON p.user_id = c.user_id AND {_EARLIER} WHERE bit_count(xor(p.bits, c.bits)) <= 8 GROUP BY p.document_id""")
 def near_dup_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = dedup.near_pairs(_registry(spark, sf_dir))
+    pairs = dedup.near_pairs(_registry(spark, sf_dir, *_HASHES))
     return pairs.groupBy("document_id").agg(F.count("*").alias("n_candidates"), F.min("distance").alias("nearest"))
 
 
 def _decisions(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
-    reg = _registry(spark, sf_dir)
+    reg = _registry(spark, sf_dir, *_HASHES)
     best = dedup.best_match(dedup.near_pairs(reg, limit)).select("*", F.lit(False).alias("suppressed"), F.array().cast("array<string>").alias("reasons"))
     return dedup.decide(reg, dedup.exact_first_seen(reg), best)
 
@@ -154,7 +158,7 @@ WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = p.user_id AND s.a = lea
 
 
 def _unseen(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
-    pairs = dedup.near_pairs(_registry(spark, sf_dir), limit)
+    pairs = dedup.near_pairs(_registry(spark, sf_dir, *_HASHES), limit)
     return dedup.without_reviewed(pairs, read_table(spark, sf_dir, "review_pairs")).select("document_id", "candidate_id", "distance")
 
 
@@ -171,24 +175,149 @@ def reviewed_pair_antijoin_uncapped(spark: SparkSession, sf_dir: str) -> DataFra
 EVIDENCE = ["amount", "transaction_reference", "receiver_name", "sender_name", "date_time", "receiver_bank"]
 
 
+def _key_sql(field: str, value: str) -> str:
+    """The compared form of a field in SQL."""
+    ws, thai = _WS.replace("{{", "{").replace("}}", "}"), "[\\x{0e00}-\\x{0e7f}]"
+    trimmed = f"regexp_replace(coalesce({value}, ''), '^{ws}+|{ws}+$', '', 'g')"
+    one_blank = lambda x: f"regexp_replace({x}, '{ws}+', ' ', 'g')"
+    if field == "amount":
+        kept = f"regexp_replace({value}, '[^0-9.]', '', 'g')"
+        return f"coalesce(TRY_CAST(nullif(regexp_extract({kept}, '^(\\d+\\.?\\d*|\\.\\d+)', 1), '') AS DOUBLE)::VARCHAR, {one_blank(f'lower({trimmed})')})"
+    if field == "transaction_reference":
+        form = "^([0-9OIl]{9,20})([A-Za-z]{3,5}?)([0-9OIl]{4,})$"
+        digits = lambda g: f"translate(upper(regexp_extract({trimmed}, '{form}', {g})), 'OIL', '011')"
+        # Leading zeros go while eight digits follow.
+        bank = f"right({digits(1)}, greatest(8, length(ltrim({digits(1)}, '0')))) || upper(regexp_extract({trimmed}, '{form}', 2)) || {digits(3)}"
+        return f"CASE WHEN regexp_matches({trimmed}, '{form}') THEN {bank} ELSE {one_blank(f'lower({trimmed})')} END"
+    if field in ("receiver_name", "sender_name"):
+        v = f"regexp_replace({trimmed}, '\\x{{0e4d}} ?\\x{{0e32}}', 'ำ', 'g')"
+        for _ in range(2):  # a letter between two blanks belongs to both
+            v = f"regexp_replace({v}, '({thai}){ws}+({thai})', '\\1\\2', 'g')"
+        for title in (f"^น{ws}*\\.{ws}*ส{ws}*\\.{ws}*", f"^นางสาว{ws}*", f"^นาง{ws}*", f"^นาย{ws}*"):
+            v = f"regexp_replace({v}, '{title}', '')"
+        edge = f"(?:{ws}|[-.,;:''\"()\\[\\]])+"
+        v = one_blank(f"regexp_replace({v}, '^{edge}|{edge}$', '', 'g')")
+        return f"lower(regexp_replace({v}, '^{ws}+|{ws}+$', '', 'g'))"
+    if field == "date_time":
+        v = f"regexp_replace({trimmed}, '{ws}*({thai}){ws}*', '\\1', 'g')"
+        v = one_blank(f"regexp_replace({v}, '{ws}*\\.{ws}*', '.', 'g')")
+        return f"lower(regexp_replace({v}, '^{ws}+|{ws}+$', '', 'g'))"
+    return one_blank(f"lower({trimmed})")
+
+
+_NAMES_DIFFER = "(a.{f} <> '' AND b.{f} <> '' AND a.{f} <> b.{f} AND NOT (least(length(a.{f}), length(b.{f})) >= 4 AND starts_with(CASE WHEN length(a.{f}) <= length(b.{f}) THEN b.{f} ELSE a.{f} END, CASE WHEN length(a.{f}) <= length(b.{f}) THEN a.{f} ELSE b.{f} END)))"
+
+
+def _differs(field: str, level: str) -> str:
+    unlike = (_NAMES_DIFFER if field in ("receiver_name", "sender_name") else "a.{f} <> b.{f}").replace("{f}", field)
+    code = {
+        "amount": "IMAGE_READ_AMOUNT_MISMATCH", "transaction_reference": "IMAGE_READ_REFERENCE_MISMATCH", "receiver_name": "IMAGE_READ_RECIPIENT_MISMATCH", "sender_name": "IMAGE_READ_SENDER_MISMATCH",
+        "date_time": "IMAGE_READ_DATETIME_MISMATCH", "receiver_bank": "IMAGE_READ_BANK_MISMATCH",
+    }[field]
+    return f"CASE WHEN {level.replace('{f}', field)} AND {unlike} THEN '{code}' END"
+
+
+_HIGH, _SOME, _MEDIUM = "a.{f}_l = 2 AND b.{f}_l = 2", "a.{f}_l >= 1 AND b.{f}_l >= 1", "a.{f}_l = 1 AND b.{f}_l = 1"
+_FIRM = ", ".join([_differs(f, _SOME) for f in EVIDENCE[:2]] + [_differs(f, _HIGH) for f in EVIDENCE[2:]])
+_SOFT = ", ".join(_differs(f, _MEDIUM) for f in EVIDENCE[2:])
+_KEYED = ", ".join(
+    f"{_key_sql(f, f'rd.{f}.value')} AS {f}, CASE WHEN rd.{f}.value IS NULL THEN 0 WHEN rd.{f}.confidence = 'HIGH' THEN 2 WHEN rd.{f}.confidence = 'MEDIUM' THEN 1 ELSE 0 END AS {f}_l" for f in EVIDENCE
+)
+_JUDGED = f""",
+rd AS (SELECT * FROM (SELECT * FROM slip_reads QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY arrived_at) = 1) WHERE document_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY read_at DESC, read_id DESC) = 1),
+ev AS (SELECT reg.document_id, reg.document_type = 'BANK_TRANSFER_SLIP' AND rd.result IN ('EXTRACTED', 'PARTIAL') AS judged, {_KEYED} FROM reg JOIN rd ON rd.document_id = reg.document_id),
+met AS (SELECT p.*, a.judged, list_filter([{_FIRM}], lambda x: x IS NOT NULL) AS firm, list_filter([{_SOFT}], lambda x: x IS NOT NULL) AS soft
+  FROM pairs p LEFT JOIN ev a ON a.document_id = p.document_id LEFT JOIN ev b ON b.document_id = p.candidate_id),
+told AS (SELECT *, firm || CASE WHEN len(soft) >= 2 OR (len(soft) >= 1 AND len(firm) > 0) THEN soft ELSE [] END AS against FROM met),
+seen AS (SELECT *, coalesce(judged, false) AND len(against) > 0 AS held FROM told),
+near AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY held, distance, candidate_created, candidate_id) = 1)
+SELECT r.document_id, r.user_id, CASE WHEN e.matched_id IS NOT NULL THEN 'EXACT_DUPLICATE' WHEN NOT n.held THEN 'LIKELY_DUPLICATE' ELSE 'NEW' END AS duplicate_status,
+  CASE WHEN e.matched_id IS NOT NULL THEN 'EXACT_DUPLICATE' WHEN NOT n.held THEN 'LIKELY_DUPLICATE_REVIEW' ELSE 'SUPPRESSED_NEAR_DUPLICATE' END AS decision,
+  CASE WHEN e.matched_id IS NOT NULL THEN '' WHEN NOT n.held THEN 'IMAGE_SIMILARITY_ONLY' ELSE array_to_string(n.against, ';') END AS reasons,
+  CASE WHEN e.matched_id IS NOT NULL THEN e.matched_id WHEN NOT n.held THEN n.candidate_id END AS matched_id,
+  CASE WHEN e.matched_id IS NOT NULL THEN 1.0::DOUBLE WHEN NOT n.held THEN round(1 - n.distance / 64.0, 4)::DOUBLE END AS similarity,
+  CASE WHEN e.matched_id IS NULL AND NOT n.held THEN 'PENDING' ELSE 'NOT_REQUIRED' END AS review_status
+FROM reg r LEFT JOIN exact e USING (document_id) LEFT JOIN near n ON n.document_id = r.document_id WHERE e.matched_id IS NOT NULL OR n.document_id IS NOT NULL"""
+
+
+
 def _suppressed(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
     """Near duplicates after evidence: the nearest candidate that no slip field contradicts, else the reasons."""
-    reg = _registry(spark, sf_dir)
-    evidence = reg.select("document_id", "document_type").join(_reads(spark, sf_dir).select("document_id", *EVIDENCE), "document_id")
+    reg = _registry(spark, sf_dir, *_HASHES, "document_type")
+    read = _reads(spark, sf_dir).select("document_id", F.col("result").isin("EXTRACTED", "PARTIAL").alias("has_evidence"), *EVIDENCE)
+    evidence = reg.select("document_id", "document_type").join(read, "document_id")
     resolved = assess.resolve(dedup.near_pairs(reg, limit), evidence, EVIDENCE)
     return dedup.decide(reg, dedup.exact_first_seen(reg), resolved).where("decision <> 'NEW_UPLOAD'").withColumn("reasons", F.array_join("reasons", ";"))
 
 
-@query()
+@query(f"WITH {_PAIRS}{_EXACT}{_JUDGED}")
 def suppressed_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _suppressed(spark, sf_dir, dedup.CANDIDATE_LIMIT)
 
 
-@query()
+@query(f"WITH {_ALL_PAIRS}{_EXACT}{_JUDGED}")
 def suppressed_near_duplicates_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _suppressed(spark, sf_dir)
 
 
+@query(
+    _ALL_DECIDED
+    + """SELECT d.document_id, d.decision, d.matched_id, d.similarity, CASE WHEN r.perceptual_hash IS NULL THEN 'UPLOADED' ELSE 'READY' END AS status,
+CASE d.duplicate_status WHEN 'EXACT_DUPLICATE' THEN 'DOCUMENT_EXACT_DUPLICATE_UPLOADED' WHEN 'LIKELY_DUPLICATE' THEN 'DOCUMENT_LIKELY_DUPLICATE_UPLOADED' ELSE 'DOCUMENT_NEW_UPLOADED' END AS audit_action
+FROM decided d JOIN reg r USING (document_id) WHERE r.intake_batch >= 1"""
+)
+def intake_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of new batches decided against everything of their owner that is earlier, with what is stored of them."""
+    reg = _registry(spark, sf_dir, *_HASHES, "intake_batch", "document_type")
+    stored, audit = intake.accept(reg, reg.where("intake_batch >= 1"))
+    return stored.join(audit.select("target_id", F.col("action").alias("audit_action")), F.col("document_id") == F.col("target_id")).select("document_id", "decision", "matched_id", "similarity", "status", "audit_action")
+
+
+_ASKED = """asked AS (SELECT DISTINCT user_id, document_id, action AS decision, note FROM review_history WHERE user_id IS NOT NULL AND document_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY user_id, document_id ORDER BY reviewed_at DESC, entry_id DESC) = 1),
+told AS (SELECT a.user_id, a.document_id, CASE WHEN r.document_id IS NULL THEN 'not_found'
+  WHEN r.duplicate_status IS DISTINCT FROM 'LIKELY_DUPLICATE' OR r.review_status IS DISTINCT FROM 'PENDING' OR m.document_id IS NULL THEN 'skipped' ELSE 'updated' END AS status
+  FROM asked a LEFT JOIN reg r ON r.document_id = a.document_id AND r.user_id = a.user_id LEFT JOIN reg m ON m.document_id = r.matched_document_id AND m.user_id = a.user_id)"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest entry of each document in the history, read as a request to review it."""
+    entries = read_table(spark, sf_dir, "review_history").where(F.col("user_id").isNotNull() & F.col("document_id").isNotNull())
+    latest = entries.groupBy("user_id", "document_id").agg(F.max(F.struct("reviewed_at", "entry_id", "action", "note")).alias("e"))
+    return latest.select("user_id", "document_id", F.col("e.action").alias("decision"), F.col("e.note").alias("note"), F.col("e.reviewed_at").alias("reviewed_at"))
+
+
+@query(f"""WITH {_REG}, {_ASKED} SELECT user_id, count(*) AS requested, count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'skipped') AS skipped,
+count(*) FILTER (status = 'not_found') AS not_found FROM told GROUP BY user_id""")
+def review_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a bulk review per owner."""
+    reg = _registry(spark, sf_dir, "user_id", "matched_document_id", "duplicate_status", "review_status", "similarity_score")
+    return review.outcome_counts(review.judged_requests(reg, _asked(spark, sf_dir)))
+
+
+@query(f"""WITH {_REG}, {_ASKED} SELECT t.document_id, a.decision AS review_status, r.matched_document_id AS reviewed_match_id, 'DOCUMENT_REVIEW_' || a.decision AS audit_action
+FROM told t JOIN asked a USING (user_id, document_id) JOIN reg r USING (document_id) WHERE t.status = 'updated'""")
+def reviewed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a bulk review changes: the record, and the audit row it leaves."""
+    reg = _registry(spark, sf_dir, "user_id", "matched_document_id", "duplicate_status", "review_status", "similarity_score")
+    judged = review.judged_requests(reg, _asked(spark, sf_dir))
+    audit = review.audit_rows(judged).select(F.col("target_id").alias("document_id"), F.col("action").alias("audit_action"))
+    changed = review.changes(judged).select("document_id", "review_status", "reviewed_match_id")
+    return changed.join(audit, "document_id")
+
+
+@query("""WITH once AS (SELECT DISTINCT audit_id, user_id, action, target_type, target_id, metadata, created_at FROM audit_logs),
+said AS (SELECT *, json_extract_string(nullif(metadata, ''), '$.reviewDecision') AS named FROM once WHERE target_type = 'document' AND target_id IS NOT NULL AND action LIKE 'DOCUMENT_REVIEW_CONFIRMED_%')
+SELECT audit_id, target_id AS document_id, CASE WHEN named IN ('CONFIRMED_DUPLICATE', 'CONFIRMED_DISTINCT') THEN named ELSE replace(action, 'DOCUMENT_REVIEW_', '') END AS decision,
+coalesce(json_extract_string(nullif(metadata, ''), '$.reviewedByUserId'), user_id) AS actor_user_id, json_extract_string(nullif(metadata, ''), '$.matchedDocumentId') AS matched_document_id,
+row_number() OVER (PARTITION BY user_id, target_id ORDER BY created_at DESC, audit_id DESC) AS place FROM said
+QUALIFY row_number() OVER (PARTITION BY user_id, target_id ORDER BY created_at DESC, audit_id DESC) <= 5""")
+def history_from_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest reviews of each document as the audit log tells them."""
+    return review.history_of_audit(read_table(spark, sf_dir, "audit_logs")).select("audit_id", "document_id", "decision", "actor_user_id", "matched_document_id", "place")
+
+
 _OUTCOME = """CASE WHEN quality_status = 'FAIL' THEN 'qualityRejected' WHEN duplicate_decision_type = 'EXACT_DUPLICATE' OR duplicate_status = 'EXACT_DUPLICATE' THEN 'exactDuplicate'
 WHEN duplicate_decision_type = 'LIKELY_DUPLICATE_REVIEW' OR duplicate_status = 'LIKELY_DUPLICATE' THEN 'reviewNeeded' WHEN duplicate_decision_type = 'SUPPRESSED_NEAR_DUPLICATE' THEN 'suppressed' ELSE 'newUpload' END"""
 

@@ -18,12 +18,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local temporary one only where the session names none."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one of this machine where a local session names none.
+
+    On a cluster every executor would write to a disk of its own, so a session without the setting is an error there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext.getCheckpointDir()
         if known:
             return known.rstrip("/")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="slipweave-")
         spark.sparkContext.setCheckpointDir(root)
         return spark.sparkContext.getCheckpointDir().rstrip("/")
