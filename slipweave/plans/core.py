@@ -223,9 +223,10 @@ _SOFT = ", ".join(_differs(f, _MEDIUM) for f in EVIDENCE[2:])
 _KEYED = ", ".join(
     f"{_key_sql(f, f'rd.{f}.value')} AS {f}, CASE WHEN rd.{f}.value IS NULL THEN 0 WHEN rd.{f}.confidence = 'HIGH' THEN 2 WHEN rd.{f}.confidence = 'MEDIUM' THEN 1 ELSE 0 END AS {f}_l" for f in EVIDENCE
 )
-_JUDGED = f""",
-rd AS (SELECT * FROM (SELECT * FROM slip_reads QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY arrived_at) = 1) WHERE document_id IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY read_at DESC, read_id DESC) = 1),
+# The latest read of each document; a read delivered again counts once.
+_RD = """rd AS (SELECT * FROM (SELECT * FROM slip_reads QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY arrived_at) = 1) WHERE document_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY read_at DESC, read_id DESC) = 1)"""
+_JUDGED = f""", {_RD},
 ev AS (SELECT reg.document_id, reg.document_type = 'BANK_TRANSFER_SLIP' AND rd.result IN ('EXTRACTED', 'PARTIAL') AS judged, {_KEYED} FROM reg JOIN rd ON rd.document_id = reg.document_id),
 met AS (SELECT p.*, a.judged, list_filter([{_FIRM}], lambda x: x IS NOT NULL) AS firm, list_filter([{_SOFT}], lambda x: x IS NOT NULL) AS soft
   FROM pairs p LEFT JOIN ev a ON a.document_id = p.document_id LEFT JOIN ev b ON b.document_id = p.candidate_id),
@@ -377,19 +378,32 @@ def matched_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _READS = """reads AS (SELECT * FROM slip_reads WHERE document_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY read_at DESC, read_id DESC) = 1)"""
 
 
+def _search_sql(words: str) -> str:
+    """Documents of which a field holds the words, in its own compared form or as plain text."""
+    number = lambda x: f"CASE WHEN regexp_full_match(regexp_replace({x}, '[^0-9.]', '', 'g'), '[0-9]+\\.?[0-9]*|\\.[0-9]+') THEN printf('%.2f', regexp_replace({x}, '[^0-9.]', '', 'g')::DOUBLE) ELSE lower(trim({x})) END"
+    literal = f"'{words}'"
+    plain = _key_sql("receiver_bank", literal)
+    holds = lambda value, key: f"coalesce({value} <> '' AND {key} <> '' AND contains({value}, {key}), false)"
+    tests = [holds(number("coalesce(rd.amount.value, '')"), number(plain))]
+    for f in ("transaction_reference", "receiver_name", "sender_name", "date_time"):
+        tests.append(holds(_key_sql(f, f"rd.{f}.value"), _key_sql(f, literal if f == "transaction_reference" else plain)))
+    tests += [holds(_key_sql("receiver_bank", f"rd.{f}.value"), plain) for f in registry.SEARCH_FIELDS]
+    return f"WITH {_RD} SELECT document_id, read_id FROM rd WHERE {' OR '.join(tests)}"
+
+
 def _search(spark: SparkSession, sf_dir: str, words: str) -> DataFrame:
     fields = {f: F.col(f)["value"] for f in registry.SEARCH_FIELDS}
     return _reads(spark, sf_dir).where(registry.matches_search(words, fields)).select("document_id", "read_id")
 
 
-@query()
+@query(_search_sql("Lotus Bank"))
 def field_search_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, "Lotus Bank")
 
 
-@query()
+@query(_search_sql("15.00"))
 def field_search_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, "1,500.00")
+    return _search(spark, sf_dir, "15.00")
 
 
 @query("SELECT read_id, amount.value AS raw, CASE WHEN regexp_full_match(regexp_replace(amount.value, '[^0-9.]', '', 'g'), '[0-9]+\\.?[0-9]*|\\.[0-9]+') "
@@ -437,7 +451,22 @@ def record_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def _export_sql() -> str:
+    """The lines of the export: cells quoted only where they must be."""
+    words = lambda x: f"array_to_string(list_transform(string_split(lower(replace({x}, '_', ' ')), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+    table = lambda t: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in t.items()) + "}"
+    cell = lambda x: f"CASE WHEN regexp_matches(coalesce({x}, ''), '[\",\\r\\n]') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE coalesce({x}, '') END"
+    reasons = f"array_to_string(list_transform(coalesce(r.duplicate_decision_reasons, []), lambda c: coalesce({table(labels.REASONS)}[c], {words('c')})), '; ')"
+    cells = [
+        "r.document_id", "r.original_filename", "strftime(r.created_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'", f"coalesce({table(labels.DOCUMENT_TYPES)}[r.document_type], {words('r.document_type')})", words("r.duplicate_status"), "r.duplicate_decision_type", reasons,
+        words("r.review_status"), *(f"rd.{f}.value" for f in ("amount", "transaction_reference", "receiver_name", "sender_name", "date_time", "receiver_bank", "sender_bank")),
+        "regexp_replace(printf('%.4f', round(r.similarity_score, 4)), '\\.?0+$', '')", "r.matched_document_id", "m.original_filename",
+    ]
+    match = "m.document_id = r.matched_document_id AND m.user_id = r.user_id AND regexp_full_match(r.matched_document_id, '[0-9a-fA-F]{24}')"
+    return f"WITH {_REG}, {_RD} SELECT r.document_id, concat_ws(',', {', '.join(map(cell, cells))}) AS line FROM reg r LEFT JOIN reg m ON {match} LEFT JOIN rd ON rd.document_id = r.document_id"
+
+
+@query(_export_sql())
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = _registry(spark, sf_dir)
     full = registry.with_matched(reg, reg, ["original_filename"]).join(_reads(spark, sf_dir).drop("user_id", "status"), "document_id", "left")
