@@ -349,22 +349,22 @@ def preset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _registry(spark, sf_dir).select(F.explode(flags).alias("p")).groupBy("p.preset").agg(F.count_if("p.fits").alias("n"))
 
 
-@query(f"""WITH {_REG} SELECT document_id, original_filename, cast(round(similarity_score, 4) AS DOUBLE) AS similarity FROM reg WHERE duplicate_status = 'LIKELY_DUPLICATE'
+@query(f"""WITH {_REG} SELECT document_id, original_filename, cast(round(similarity_score, 4) AS DOUBLE) AS similarity FROM reg WHERE duplicate_status = 'LIKELY_DUPLICATE' AND review_status = 'PENDING'
 ORDER BY created_at DESC, document_id DESC LIMIT 10 OFFSET 10""")
 def queue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = registry.filtered(_registry(spark, sf_dir), duplicate_status="LIKELY_DUPLICATE")
+    rows = registry.review_queue(_registry(spark, sf_dir, "original_filename", "created_at", "duplicate_status", "review_status", "similarity_score"))
     return registry.page(rows, "newest", 2).select("document_id", "original_filename", F.round("similarity_score", 4).alias("similarity"))
 
 
-@query(f"WITH {_REG} SELECT user_id, count(*) AS total, greatest(1, ceil(count(*) / 10.0))::BIGINT AS pages FROM reg WHERE duplicate_status = 'LIKELY_DUPLICATE' GROUP BY user_id")
+@query(f"WITH {_REG} SELECT user_id, count(*) AS total, greatest(1, ceil(count(*) / 10.0))::BIGINT AS pages FROM reg WHERE duplicate_status = 'LIKELY_DUPLICATE' AND review_status = 'PENDING' GROUP BY user_id")
 def queue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.page_counts(registry.filtered(_registry(spark, sf_dir), duplicate_status="LIKELY_DUPLICATE"), ["user_id"])
+    return registry.page_counts(registry.review_queue(_registry(spark, sf_dir, "user_id", "duplicate_status", "review_status")), ["user_id"])
 
 
 @query(f"""WITH {_REG} SELECT document_id, user_id, (row_number() OVER w)::INTEGER AS position, lag(document_id) OVER w AS previous_id, lead(document_id) OVER w AS next_id
-FROM reg WHERE duplicate_status = 'LIKELY_DUPLICATE' WINDOW w AS (PARTITION BY user_id ORDER BY created_at, document_id)""")
+FROM reg WHERE duplicate_status = 'LIKELY_DUPLICATE' AND review_status = 'PENDING' WINDOW w AS (PARTITION BY user_id ORDER BY created_at, document_id)""")
 def queue_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.neighbours(registry.filtered(_registry(spark, sf_dir), duplicate_status="LIKELY_DUPLICATE"), "oldest")
+    return registry.neighbours(registry.review_queue(_registry(spark, sf_dir, "user_id", "created_at", "duplicate_status", "review_status")), "oldest")
 
 
 @query(f"""WITH {_REG} SELECT a.document_id, a.matched_document_id, b.original_filename AS matched_original_filename, b.duplicate_status AS matched_duplicate_status
@@ -495,7 +495,8 @@ def quality_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 arg_max(decision, (updated_at, reviewed_at, decision)) AS decision, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS created_at FROM review_pairs GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY 1, 2, 3"))
 def pair_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = read_table(spark, sf_dir, "review_pairs")
-    merged = review.merge_pairs(pairs.limit(0), pairs)
+    known = F.col("decision") == "CONFIRMED_DUPLICATE"  # the memory so far; the other decisions are merged into it
+    merged = review.merge_pairs(pairs.where(known), pairs.where(~F.coalesce(known, F.lit(False))))
     return merged.select("user_id", "document_a_id", "document_b_id", "decision", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
 

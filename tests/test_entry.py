@@ -14,7 +14,7 @@ def test_names():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are absent")
-@pytest.mark.parametrize("name", ["exact_first_seen", "near_dup_best_match", "duplicate_decision", "reviewed_pair_antijoin", "matched_lookup", "reference_normalise", "amount_normalise", "slip_extraction", "payment_payloads", "pair_upsert", "dhash_grid"])
+@pytest.mark.parametrize("name", ["exact_first_seen", "near_dup_best_match", "duplicate_decision", "reviewed_pair_antijoin", "matched_lookup", "reference_normalise", "amount_normalise", "slip_extraction", "payment_payloads", "pair_upsert", "dhash_grid", "suppressed_near_duplicates", "intake_decisions", "review_outcomes", "reviewed_records", "history_from_audit", "field_search_name", "export_rows", "queue_pages", "queue_neighbours"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for p in Path(DATA).glob("*.parquet"):

@@ -3,7 +3,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from slipweave.operators import assess, dedup, registry, review
+from slipweave.functions import slips
+from slipweave.operators import assess, dedup, intake, registry, review
 from slipweave.operators.skew import lookup
 
 REG = "document_id string, user_id string, created_at timestamp, exact_hash string, perceptual_hash string, extra string"
@@ -135,5 +136,60 @@ def test_pair_memory_and_snapshots(spark):
 
 def test_csv_file(spark, tmp_path):
     registry.write_csv(spark.createDataFrame([("1", '1,"a, b"')], "document_id string, line string").coalesce(1), str(tmp_path / "out"))
-    part = next(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part"))
-    assert part.read_bytes().decode() == ",".join(registry.EXPORT_HEADER) + '\r\n1,"a, b"\r\n'
+    parts = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part"))
+    assert b"".join(p.read_bytes() for p in parts).decode() == ",".join(registry.EXPORT_HEADER) + '\r\n1,"a, b"\r\n'
+
+
+def test_records_without_evidence_keep_their_candidate(spark):
+    pairs = spark.createDataFrame([("n", "u", "c", T0, 1)], "document_id string, user_id string, candidate_id string, candidate_created timestamp, distance int")
+    for has, want in ((True, True), (False, False), (None, False)):
+        ev = spark.createDataFrame([(d, "BANK_TRANSFER_SLIP", has, (v, "HIGH", "s")) for d, v in (("n", "1"), ("c", "2"))], f"document_id string, document_type string, has_evidence boolean, amount {FIELD}")
+        assert assess.resolve(pairs, ev, ["amount"]).first().suppressed is want
+
+
+def test_lookups_by_owner(spark):
+    a, b = "a" * 24, "b" * 24
+    reg = spark.createDataFrame([(a, "u"), (b, "v")], "document_id string, user_id string")
+    assert [registry.record_of(reg, d, o).count() for d, o in ((a, "u"), (b, "u"), ("x", "u"))] == [1, 0, 0]
+    pairs = spark.createDataFrame([("u", a, b, "D")], "user_id string, document_a_id string, document_b_id string, decision string")
+    assert [registry.pair_of(pairs, o, *ids).count() for o, ids in (("u", (b, a)), ("u", (a, b)), ("v", (a, b)))] == [1, 1, 0]
+    ids = spark.createDataFrame([([" x", "y", "x ", "", None],)], "ids array<string>")
+    assert ids.select(registry.distinct_in_order(F.col("ids"))).first()[0] == ["x", "y"]
+
+
+def test_bulk_review(spark):
+    kind = "document_id string, user_id string, matched_document_id string, duplicate_status string, review_status string, similarity_score double, x string"
+    reg = spark.createDataFrame(
+        [("a", "u", "m", "LIKELY_DUPLICATE", "PENDING", 0.9, ""), ("b", "u", "m", "NEW", "PENDING", None, ""), ("c", "u", "gone", "LIKELY_DUPLICATE", "PENDING", 0.9, ""), ("d", "v", "m", "LIKELY_DUPLICATE", "PENDING", 0.9, ""), ("m", "u", None, "NEW", None, None, "")], kind
+    )
+    asked = spark.createDataFrame([("u", d, "CONFIRMED_DUPLICATE", "  same  slip ", T0) for d in "abcdz"], "user_id string, document_id string, decision string, note string, reviewed_at timestamp")
+    judged = review.judged_requests(reg, asked)
+    assert {r.document_id: r.status for r in judged.collect()} == {"a": "updated", "b": "skipped", "c": "skipped", "d": "not_found", "z": "not_found"}
+    assert tuple(review.outcome_counts(judged).first()) == ("u", 5, 1, 2, 2)
+    changed = review.apply_changes(reg.withColumn("reviewed_match_id", F.lit(None).cast("string")), review.changes(judged), ["review_status", "reviewed_match_id"])
+    assert {r.document_id: (r.review_status, r.reviewed_match_id) for r in changed.collect()}["a"] == ("CONFIRMED_DUPLICATE", "m")
+    logs = review.audit_rows(judged, "batch").withColumn("audit_id", F.lit("1"))
+    assert logs.first().action == "DOCUMENT_REVIEW_CONFIRMED_DUPLICATE"
+    told = review.history_of_audit(logs.union(logs)).collect()
+    assert [(t.document_id, t.decision, t.note, t.actor_user_id, t.matched_document_id, t.bulk_review_batch_id) for t in told] == [("a", "CONFIRMED_DUPLICATE", "same slip", "u", "m", "batch")]
+
+
+def test_intake_and_owner_buckets(spark, tmp_path):
+    rows = [("a", "u", "e" * 64, "0" * 16, T0), ("b", "u", "f" * 64, "0" * 15 + "1", T0 + timedelta(1)), ("c", "u", "e" * 64, None, T0 + timedelta(2)), ("d", "v", "e" * 64, "0" * 16, T0 + timedelta(3))]
+    reg = spark.createDataFrame([(*r, "CHEQUE", 1) for r in rows], "document_id string, user_id string, exact_hash string, perceptual_hash string, created_at timestamp, document_type string, clash int")
+    records, audit = intake.accept(reg, reg.where("document_id > 'a'"))
+    got = {r.document_id: (r.decision, r.matched_id, r.status) for r in records.collect()}
+    assert got == {"b": ("LIKELY_DUPLICATE_REVIEW", "a", "READY"), "c": ("EXACT_DUPLICATE", "a", "UPLOADED"), "d": ("NEW_UPLOAD", None, "READY")}
+    assert {r.target_id: r.action for r in audit.collect()} == {"b": "DOCUMENT_LIKELY_DUPLICATE_UPLOADED", "c": "DOCUMENT_EXACT_DUPLICATE_UPLOADED", "d": "DOCUMENT_NEW_UPLOADED"}
+    assert intake.accept(reg.limit(0), reg.limit(0))[0].count() == 0
+    path = str(tmp_path / "registry")
+    intake.append_by_owner(reg.where("user_id = 'u'"), path)
+    intake.append_by_owner(reg.where("user_id = 'v'"), path)
+    mine = intake.read_owner(spark, path, "u")
+    assert mine.count() == 3 and "owner_bucket" in mine._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:80]
+
+
+def test_fragmented_thai_text(spark):
+    texts = ["ก ข ค", "ก  ข  ค", "จํ านวนเงิน 500.00", "จํานวน", "ก ข"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(slips.clean_text(F.col("t"))).collect()]
+    assert got == ["กขค", "ก  ข  ค", "จำนวนเงิน 500.00", "จำนวน", "ก ข"]
