@@ -15,12 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slipweave.operators.skew import lookup
 from slipweave.sources.tables import Scratch
 
 #: Tasks whose open texts are combined by one task of the next level.
 FAN_IN = 16
-#: Sources in a target table.
-MAX_SOURCES = 100_000
+#: Sources of a target table that are broadcast; larger tables are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 _EPS = 1e-9
 _OPEN = "doc_id long, source string, n_tokens long, base int, x double, task int"
 
@@ -100,11 +101,10 @@ def mix(texts: DataFrame, targets: DataFrame, scratch: Scratch, total_tokens: in
     rows = scratch.write(texts.select("doc_id", "source", F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0 and doc_id is not null"), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
     plan = scratch.write(plan_shares(sizes, targets, total_tokens), "plan")
-    if plan.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources in the target table")
-    wanted = F.broadcast(plan.where("copies > 0").select("source", "copies"))
+    wanted = plan.where("copies > 0").select("source", "copies")
+    with_copies = rows.join(F.broadcast(wanted), "source") if plan.count() <= BROADCAST_SOURCES else lookup(rows, wanted, ["source"], "inner")
     whole = F.floor(F.col("copies") + _EPS)
-    todo = rows.join(wanted, "source").select("doc_id", "source", "n_tokens", whole.cast("int").alias("base"), F.greatest(F.lit(0.0), F.col("copies") - whole).alias("x"), F.spark_partition_id().alias("task"))
+    todo = with_copies.select("doc_id", "source", "n_tokens", whole.cast("int").alias("base"), F.greatest(F.lit(0.0), F.col("copies") - whole).alias("x"), F.spark_partition_id().alias("task"))
     decided, tasks = [], None
     while True:
         done = scratch.write(todo.mapInPandas(_round(seed, tasks == 1), _OPEN), "rounded")

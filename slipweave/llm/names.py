@@ -287,8 +287,7 @@ def link_names(names: DataFrame, nicknames: DataFrame, scratch: Scratch) -> Data
     spark: SparkSession = names.sparkSession
     base = names.select("user_id", "form").where(F.col("user_id").isNotNull() & F.col("form").isNotNull()).distinct()
     # Numbers are given once and stored, so no two names share one.
-    base = scratch.write(base.withColumn("id", F.monotonically_increasing_id()), "ids")
-    parsed = scratch.write(base.mapInPandas(_parse_batches, _PARSED), "parsed")
+    parsed = scratch.write(base.withColumn("id", F.monotonically_increasing_id()).mapInPandas(_parse_batches, _PARSED), "parsed")
     total = parsed.count()
     given: dict[str, set[str]] = {}
     for r in nicknames.where("given_name is not null and nickname is not null").select("given_name", "nickname").collect():  # a reference table
@@ -340,10 +339,13 @@ def _meetings(filed: DataFrame) -> DataFrame:
     """(id_a, id_b) of the names filed under one key. The rows of a key of many names are spread: each meets all others in
     one of several tasks, so none is dropped and no task holds all pairs."""
     hot = filed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).select("k", F.ceil(F.col("n") / HOT_KEY).cast("int").alias("parts"))
+    met = lambda a, b, keys: a.join(b, keys).where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
+    if not hot.take(1):  # nothing to spread: one shuffle of the keys is enough
+        return met(filed.withColumnRenamed("id", "id_a"), filed.withColumnRenamed("id", "id_b"), ["k"])
     marked = filed.join(hot, "k", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     a = marked.select("k", F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     b = marked.select("k", F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return a.join(b, ["k", "part"]).where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
+    return met(a, b, ["k", "part"])
 
 
 def slip_names(reads: DataFrame) -> DataFrame:

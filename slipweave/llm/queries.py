@@ -98,7 +98,29 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(_texts(spark, sf_dir), read_table(spark, sf_dir, "cut_limits"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_groups, p4_found, p4_forms, p5_found, p5_parties, p6_found, p6_classes, p7_ids, p7_roundtrip, p8_chosen, p8_shares, p9_pieces)}
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix promises, by listed source: no text above its cap, tokens within one text of the plan."""
+    scratch = Scratch(spark, "p8")
+    sizes = scratch.write(tokenizer.count_tokens(_texts(spark, sf_dir, "source")), "counted")
+    chosen, plan = mixing.mix(sizes, read_table(spark, sf_dir, "source_targets"), scratch)
+    largest = sizes.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    out = mixing.shares(chosen, plan).join(plan.select("source", "copies"), "source").join(largest, "source", "left")
+    near = F.abs(F.col("chosen_tokens") - F.col("copies") * F.col("available_tokens")) <= F.coalesce("largest", F.lit(0)) + F.lit(0.5)
+    return out.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), near.alias("share_reached"))
+
+
+def p9_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the new parts of the pieces make up each text, for all limits, and no piece is above its limit."""
+    texts, limits = _texts(spark, sf_dir), read_table(spark, sf_dir, "cut_limits")
+    parts = splitting.split(texts, limits).join(F.broadcast(limits.select("limit_id", "max_tokens").distinct()), "limit_id")
+    new = F.expr("substring(text, new_from - start_char + 1, end_char - new_from)")
+    listed = F.array_sort(F.collect_list(F.struct("piece_no", new.alias("s"))))
+    rebuilt = parts.groupBy("doc_id", "limit_id").agg(F.array_join(F.transform(listed, lambda x: x["s"]), "").alias("again"), F.max(F.col("n_tokens") - F.col("max_tokens")).alias("over"))
+    whole = rebuilt.join(texts, "doc_id").groupBy("doc_id").agg(F.bool_and((F.col("again") == F.col("text")) & (F.col("over") <= 0)).alias("whole"))
+    return texts.select("doc_id").join(whole, "doc_id", "left").select("doc_id", F.coalesce("whole", F.lit(True)).alias("whole"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_groups, p4_found, p4_forms, p5_found, p5_parties, p6_found, p6_classes, p7_ids, p7_roundtrip, p8_chosen, p8_shares, p8_kept, p9_pieces, p9_rebuilt)}
 
 _GROUPS = """
 WITH RECURSIVE ids AS (SELECT DISTINCT document_id AS id FROM document_records WHERE document_id IS NOT NULL),
@@ -137,6 +159,8 @@ SELECT d AS document_id, u AS user_id, c AS class_id, coalesce(n, 0) AS n_links
 
 SQL: dict[str, str] = {
     "p6_classes": _CLASSES,
+    "p8_kept": "SELECT DISTINCT source, true AS within_cap, true AS share_reached FROM source_targets WHERE target_share > 0 AND max_repeats > 0 AND source IS NOT NULL",
+    "p9_rebuilt": "SELECT doc_id, true AS whole FROM documents",
     "p7_roundtrip": "SELECT doc_id, true AS same FROM documents",
     "p2_found": _GROUPS + "SELECT id AS document_id, group_id FROM found",
     "p2_groups": _GROUPS + "SELECT ids.id AS document_id, coalesce(found.group_id, ids.id) AS group_id FROM ids LEFT JOIN found ON found.id = ids.id",
