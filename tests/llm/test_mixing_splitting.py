@@ -70,3 +70,12 @@ def test_cuts_are_at_the_strongest_boundary(spark):
     text = "one two three four five six. " * 8 + "\n\n" + "one two three four five six. " * 8
     out = splitting.split(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, 70, 0)], "limit_id int, max_tokens int, overlap_tokens int"))
     assert [p.text for p in out.orderBy("piece_no").collect()][0].endswith("\n\n") and out.count() == 2
+
+
+def test_many_sources_are_joined_by_shuffle(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"s{i % 3}", 10 + i % 5) for i in range(300)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("s0", 0.5, 1), ("s1", 0.5, 2)], TARGETS)
+    want = {r.source: r.chosen_tokens for r in mixing.shares(*mixing.mix(df, targets, Scratch(spark, "t"))).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    got = {r.source: r.chosen_tokens for r in mixing.shares(*mixing.mix(df, targets, Scratch(spark, "t"))).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 14 for k in want)
